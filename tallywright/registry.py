@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import reports  # noqa: F401
+from .plans import reports, scalar_queries  # noqa: F401
 from .plans.register import QUERIES, SQL, Query
 
 
