@@ -90,15 +90,15 @@ def balance_rows(ledger: DataFrame, by: str = "source_file", eps: str = "0.01")
     return hit.groupBy(by).agg(F.min_by("id", F.struct("date", "id")).alias("id"))
 
 
-def settlement_components(settlements: DataFrame, cards: DataFrame, before: int = 45, after: int = 7) -> DataFrame:
-    """Settlements and card rows with ``part``: windows that overlap form one part, others are independent."""
-    w = Window.orderBy("date", "id")
-    spans = settlements.select("id", "amount", "date", F.date_sub("date", before).alias("lo"), F.date_add("date", after).alias("hi"))
+def settlement_components(settlements: DataFrame, cards: DataFrame, owner: str, before: int = 45, after: int = 7) -> DataFrame:
+    """Settlements and card rows with ``part``: an owner's windows that overlap form one part, others are independent."""
+    w = Window.partitionBy(owner).orderBy("date", "id")
+    spans = settlements.select(owner, "id", "amount", "date", F.date_sub("date", before).alias("lo"), F.date_add("date", after).alias("hi"))
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parted = spans.withColumn("part", F.sum(F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).over(w))
-    bounds = parted.groupBy("part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    near = cards.join(F.broadcast(bounds), F.col("date").between(F.col("lo"), F.col("hi"))).select("part", "id", "amount", "date", F.lit(False).alias("settles"))
-    return parted.select("part", "id", "amount", "date", F.lit(True).alias("settles")).unionByName(near)
+    parted = spans.withColumn("starts", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).withColumn("part", F.sum("starts").over(w))
+    bounds = parted.groupBy(owner, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = cards.join(bounds, owner).where(F.col("date").between(F.col("lo"), F.col("hi"))).select(owner, "part", "id", "amount", "date", F.lit(False).alias("settles"))
+    return parted.select(owner, "part", "id", "amount", "date", F.lit(True).alias("settles")).unionByName(near)
 
 
 def match_part(settles: list[tuple], cards: list[tuple], eps: Decimal = Decimal("0.01"), before: int = 45, after: int = 7, gap: int = 5, k: int = 10) -> list[tuple]:
@@ -139,12 +139,46 @@ def match_part(settles: list[tuple], cards: list[tuple], eps: Decimal = Decimal(
     return out
 
 
-def card_settlements(settlements: DataFrame, cards: DataFrame) -> DataFrame:
-    """(settlement_id, detail_id, delta, method) over all parts. Claims are sequential, so a part is one group."""
+def card_settlements(settlements: DataFrame, cards: DataFrame, owner: str = "account_label") -> DataFrame:
+    """(settlement_id, detail_id, delta, method). Claims within one owner's overlapping windows are
+    sequential, so these are a group, as large as one owner's card rows of that time; owners are independent."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = lambda s: [(r.id, r.amount, r.date) for r in pdf[pdf.settles == s].itertuples()]
         got = [(s, d, delta, m) for s, ids, delta, m in match_part(rows(True), rows(False)) for d in ids]
         return pd.DataFrame(got, columns=["settlement_id", "detail_id", "delta", "method"])
 
-    return settlement_components(settlements, cards).groupBy("part").applyInPandas(run, "settlement_id string, detail_id string, delta decimal(18,4), method string")
+    return settlement_components(settlements, cards, owner).groupBy(owner, "part").applyInPandas(run, "settlement_id string, detail_id string, delta decimal(18,4), method string")
+
+
+def cross_account_duplicates(ledger: DataFrame) -> DataFrame:
+    """All rows whose (date, raw description, amount) stands in more than one account; null accounts don't count."""
+    keys = ["date", "raw_description", "amount"]
+    shared = ledger.where("raw_description is not null").groupBy(*keys).agg(F.count_distinct("account_label").alias("n")).where("n > 1")
+    return ledger.join(shared, keys, "left_semi")
+
+
+def similar_to(ledger: DataFrame, text: str, at_least: float) -> DataFrame:
+    """Rows whose words are like those of one text, by the Jaccard index of word sets."""
+    from ..functions.scalars import jaccard, tokens
+
+    scored = ledger.where("description <> ''").withColumn("score", jaccard(tokens(F.col("description")), tokens(F.lit(text))))
+    return scored.where(F.col("score") >= at_least)
+
+
+def similar_pairs(ledger: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, score) of distinct descriptions, by prefix filtering: of a set of n words, rarest first,
+    one of the first n - ceil(t n) + 1 is in every set that is similar enough."""
+    from ..functions.scalars import tokens
+
+    texts = ledger.where("description is not null").select("description", tokens(F.col("description")).alias("w")).distinct().where(F.size("w") > 0)
+    words = texts.select("description", F.explode("w").alias("word"))
+    rank = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ordered = words.join(rank, "word").groupBy("description").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+    keep = F.size("o") - F.ceil(F.size("o") * at_least).cast("int") + 1
+    heads = ordered.select("description", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["word"])).alias("word"))
+    side = lambda c: heads.select("word", F.col("description").alias(c))
+    met = side("a").join(side("b"), "word").where("a < b").select("a", "b").distinct()
+    sets = lambda c: texts.select(F.col("description").alias(c), F.col("w").alias(f"w_{c}"))
+    score = F.size(F.array_intersect("w_a", "w_b")) / F.size(F.array_union("w_a", "w_b"))
+    return met.join(sets("a"), "a").join(sets("b"), "b").withColumn("score", score).where(F.col("score") >= at_least).select("a", "b", F.round("score", 6).alias("score"))
