@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, exact_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, toxicity
 from .common import read
+from .oracles import SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
