@@ -95,6 +95,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     )
     # rows that share id and size divide their takes evenly, the remainder to none
     took = saved(took.select("_tw_id", "_tw_size", F.ceil(F.col("_tw_times") / F.col("_tw_rows")).cast("int").alias("_tw_times")))
-    sized = docs.withColumn("_tw_words", word_count(docs["text"]))
-    joined = sized.join(took.hint("shuffle_hash"), sized["doc_id"].eqNullSafe(took["_tw_id"]) & (sized["_tw_words"] == took["_tw_size"]))
-    return joined.withColumn("_tw_i", F.explode(F.sequence(F.lit(1), F.col("_tw_times")))).select(*docs.columns)
+    sized = docs.select(F.struct("*").alias("row"), word_count(docs["text"]).alias("words"))
+    joined = sized.join(took.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("_tw_id")) & (F.col("words") == F.col("_tw_size")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_tw_times")))).select("row.*")

@@ -72,7 +72,8 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes the documents as one folder a shard: ``path/shard_id=.../``. Rows that share an id go to the first of its shards."""
+    """Writes the documents as one folder a shard: ``path/shard_id=.../``, each with the whole ``row``. Rows that share an id go to the first of its shards."""
     at = shards(docs, limit).groupBy(F.col("doc_id").alias("_tw_id")).agg(F.min("shard_id").alias("shard_id"))
-    joined = docs.join(at.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(at["_tw_id"])).drop("_tw_id")
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(at.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("_tw_id"))).select("row", "shard_id")
     joined.repartition("shard_id").write.partitionBy("shard_id").mode("overwrite").parquet(path)

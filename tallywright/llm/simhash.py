@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import connected_components, saved
 
@@ -88,7 +90,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable).
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable), root (a fingerprint that names the class).
 
     Null texts count as empty; empty texts share fingerprint 0 and one class.
     Repeated rows stay repeated. Null ids never become a component_id unless a
@@ -99,23 +101,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(close_pairs(each.select("fp"))).withColumnRenamed("node", "fp")
     named = each.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     classes = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(classes, "root").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = named.join(classes, "root").select("fp", "component_id", "root")
+    return rows.join(names, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names its class, each id once: one document of each group."""
-    keep = saved(
-        near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("_tw_id"), "n")
-    )
-    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_tw_id"]))
-    if keep.where("n > 1").isEmpty():
-        return kept.select(*[docs[c] for c in docs.columns])
-    # rows that share an id: the class keeps one of them
-    once = kept.where("n = 1").select(*[docs[c] for c in docs.columns])
-    again = kept.where("n > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """One row of ``docs`` for each class: that of the id which names it; of rows alike in id and fingerprint, any.
+
+    Where an id (or null) stands for several texts, rows are told apart by id
+    and fingerprint.
+    """
+    near = saved(near_duplicates(docs))
+    named = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = saved(named.groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("k"), F.count(F.lit(1)).alias("rows")).select("k.doc_id", "k.fp", "rows"))
+    whole = docs.select(F.struct("*").alias("row"))
+    shared = near.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    if shared.isEmpty():
+        kept = whole.join(keep.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    else:
+        texts = docs.select(F.struct("*").alias("row"), _fingerprint_column(F.col("text").cast("string")).alias("at"))
+        kept = texts.join(keep.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("fp")))
+    if keep.where("rows > 1").isEmpty():
+        return kept.select("row.*")
+    # rows alike in id and fingerprint: the class keeps one of them
+    return kept.where("rows = 1").select("row.*").unionByName(kept.where("rows > 1").dropDuplicates(["doc_id", "fp"]).select("row.*"))
+
+
+@F.pandas_udf(LongType())
+def _fingerprint_column(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
 
 
 def hex_digits(fp: Column) -> Column:

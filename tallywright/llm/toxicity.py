@@ -59,8 +59,9 @@ class ChainModel:
     def odds(self, potentials: list[float]) -> list[float]:
         """Odds of T at each token by forward-backward, in ratio form; potentials are exp(score)."""
         oo, ot, to, tt = map(math.exp, self.trans)
-        forward, r = [], 1.0
-        for e in potentials:
+        forward = list(potentials[:1])
+        r = forward[0] if forward else 1.0
+        for e in potentials[1:]:
             r = e * (ot + r * tt) / (oo + r * to)
             forward.append(r)
         b = 1.0
