@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import model, stats, text
+from ..operators import model, roles, stats, text
 from ..sources.adapters import table
 from .register import on_ledger, query
 
@@ -132,3 +132,23 @@ on_ledger("cl_clean_desc", "SELECT DISTINCT description, CASE WHEN contains(desc
         F.col("prompt").alias("description"), model.usable_description(F.col("text"), F.col("prompt")).alias("cleaned")
     )
 )
+on_ledger("agg_patterns_union", "SELECT * FROM (VALUES ('giro', 1, 0), ('bonifico', 1, 1), ('transfer', 2, 1)) v(pattern, id, pos)")(
+    lambda d: roles.patterns_union(d.sparkSession.createDataFrame([(1, '["giro", "bonifico"]'), (2, '["giro", "transfer"]'), (3, None)], "id int, patterns string")).select("pattern", "first.id", "first.pos")
+)
+query("agg_hw", "SELECT event_type, round(avg(value), 3) AS cpu_avg, max(value) AS cpu_max, round(avg(CASE WHEN value - 100 > 0 THEN value - 100 END), 3) AS power_avg, max(CASE WHEN value - 100 > 0 THEN value - 100 END) AS power_max FROM events GROUP BY 1")(
+    lambda spark, d: roles.hardware(table(spark, d, "events").select("event_type", F.col("value").alias("cpu"), (F.col("value") - 100).alias("power")), ["event_type"])
+)
+GROUPS = [("file_1.csv", "G1"), ("file_2.csv", "G2")]
+on_ledger("sc_commit_group", "SELECT CASE source_file WHEN 'file_1.csv' THEN 'G1' WHEN 'file_2.csv' THEN 'G2' ELSE 'UNKNOWN' END AS \"group\", count(*) AS n FROM ledger GROUP BY 1")(
+    lambda d: roles.commit_groups(d.withColumnRenamed("source_file", "commit"), d.sparkSession.createDataFrame(GROUPS, "commit string, `group` string")).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+)
+query("agg_bench_session", "SELECT o_orderpriority AS version, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderpriority = (SELECT max(o_orderpriority) FROM orders)) GROUP BY 1")(
+    lambda spark, d: roles.latest_session(table(spark, d, "orders").select(F.col("o_orderpriority").alias("version"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started"))).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+)
+CATALOGUE = "SELECT DISTINCT p_name AS name, p_type AS tag FROM part"
+query("src_brand_build", f"WITH c AS ({CATALOGUE}) SELECT '\\b' || replace(lower(name), ' ', '\\s+') || '\\b' AS pattern, tag AS osm_tag, CAST(row_number() OVER (ORDER BY length(replace(name, ' ', '\\s+')) DESC, replace(lower(name), ' ', '\\s+'), tag) - 1 AS INTEGER) AS rule_idx FROM c WHERE length(name) <= 25")(
+    lambda spark, d: roles.brand_rules(table(spark, d, "part").select(F.concat("p_name", F.lit(" S.p.A. (Italia)")).alias("name"), F.col("p_type").alias("osm_tag"), F.array().cast("array<string>").alias("countries")).distinct().withColumn("name", F.regexp_replace("name", r" S\.p\.A\.", " spa"))).drop("countries")
+)
+on_ledger("sc_legacy_clean", """, w AS (SELECT id, list_filter(regexp_split_to_array(upper(description), '[^A-Z]+'), lambda x: x <> '') AS w FROM ledger WHERE description IS NOT NULL), c AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM w) GROUP BY 1),
+ k AS (SELECT list(x) AS common FROM c WHERE c > (SELECT sum(c) FROM c) * 0.05) SELECT id, array_to_string(list_filter(w, lambda x: NOT list_contains(common, x)), ' ') AS text FROM w, k""")(lambda d: roles.common_words_removed(d.where("description is not null")))
+on_ledger("inf_legacy_year", "SELECT batch_id AS y, CASE WHEN batch_id <= 30 THEN batch_id + 2000 ELSE batch_id + 1900 END AS year FROM ledger GROUP BY 1")(lambda d: d.groupBy(F.col("batch_id").alias("y")).agg(F.count(F.lit(1)).alias("n")).select("y", roles.expand_year(F.col("y")).alias("year")))
