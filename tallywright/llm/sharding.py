@@ -44,9 +44,12 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     while True:
         deep = min(HASH_BITS, base + step)
         leaves = active.groupBy(_prefix(F.col("h"), deep).alias("leaf")).agg(F.sum("doc_bytes").alias("b"))
-        up = leaves.select("leaf", "b", F.explode(F.sequence(F.lit(base), F.lit(deep))).alias("d")).withColumn("p", F.expr(f"shiftrightunsigned(leaf, {deep} - d)"))
-        fit = up.groupBy("d", "p").agg(F.sum("b").alias("shard_bytes")).where((F.col("shard_bytes") <= limit) | ((F.col("d") == HASH_BITS)))
+        ancestors = lambda lo: leaves.select("leaf", "b", F.explode(F.sequence(F.lit(lo), F.lit(deep))).alias("d")).withColumn("p", F.expr(f"shiftrightunsigned(leaf, {deep} - d)"))  # noqa: E731, B023
+        fit = saved(ancestors(base).groupBy("d", "p").agg(F.sum("b").alias("shard_bytes")).where((F.col("shard_bytes") <= limit) | (F.col("d") == HASH_BITS)))
+        # no prefix shorter than this fits, so the join below has no key with more than a few leaves
+        start = fit.agg(F.min("d").alias("d")).first()["d"]
         first = F.min(F.struct("d", "p", "shard_bytes"))
+        up = ancestors(deep if start is None else start)
         directory = saved(up.join(fit, ["d", "p"]).groupBy("leaf").agg(first.alias("f")).select("leaf", F.col("f.d").alias("depth"), F.col("f.p").alias("prefix"), "f.shard_bytes"))
         placed = active.withColumn("leaf", _prefix(F.col("h"), deep)).join(directory, "leaf", "left").drop("leaf")
         done.append(placed.where("depth is not null"))
