@@ -35,12 +35,6 @@ def on_cells(name: str, sql: str | None = None):
     return add
 
 
-def body(rows: DataFrame) -> DataFrame:
-    """The table under the header."""
-    heads = St.header_rows(rows)
-    return rows.join(heads, "source_file").where(F.col("row_idx") > F.col("header_idx")).drop("header_idx", "certain")
-
-
 def tally(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
 
@@ -57,8 +51,8 @@ on_cells("src_head", "SELECT source_file, row_idx, NULL AS x FROM num WHERE row_
 on_cells("cln_trailing_sparse", f"SELECT source_file, last + 1 AS n, 0 AS first, last FROM ({PER})")(lambda rows: tally(St.trim_sparse_tail(rows)))
 on_cells("cln_border_reconcile", f"SELECT source_file, last + 1 AS n, 0 AS first, last FROM ({PER})")(lambda rows: tally(St.trim_sparse_tail(rows, F.lit(4))))
 on_cells("cln_preheader", f"SELECT source_file, last AS n, 2 AS first, last + 1 AS last FROM ({PER})")(lambda rows: tally(St.strip_preheader(rows)))
-on_cells("cln_footer_iqr", f"SELECT source_file, last - 2 AS n, 3 AS first, last FROM ({PER})")(lambda rows: tally(St.strip_footer_outliers(body(rows))))
-on_cells("cln_footer_p1", f"SELECT source_file, last - 2 AS n, 3 AS first, last FROM ({PER})")(lambda rows: tally(St.strip_footer_missing(body(rows), [0, 1, 2])))
+on_cells("cln_footer_iqr", f"SELECT source_file, last - 2 AS n, 3 AS first, last FROM ({PER})")(lambda rows: tally(St.strip_footer_outliers(St.body(rows))))
+on_cells("cln_footer_p1", f"SELECT source_file, last - 2 AS n, 3 AS first, last FROM ({PER})")(lambda rows: tally(St.strip_footer_missing(St.body(rows), [0, 1, 2])))
 on_cells("cln_footer_p3", f"SELECT source_file, last + 1 AS row_idx, 'drop' AS footer FROM ({PER})")(
     lambda rows: St.footer_by_patterns(rows, 1, ["saldo finale"]).where("footer is not null").select("source_file", "row_idx", "footer")
 )
@@ -74,21 +68,21 @@ on_cells("cln_drop_null_cols", f"SELECT source_file, last + 2 AS n, 'source_file
 on_cells(
     "inf_content_type",
     "SELECT source_file, 0 AS col, 'date' AS kind FROM num GROUP BY 1 UNION ALL SELECT source_file, 1, 'text' FROM num GROUP BY 1 UNION ALL SELECT source_file, 2, 'amount' FROM num GROUP BY 1 UNION ALL SELECT source_file, 3, 'text' FROM num GROUP BY 1",
-)(lambda rows: ingest.column_profiles(body(rows)).select("source_file", "col", "kind"))
+)(lambda rows: ingest.column_profiles(St.body(rows)).select("source_file", "col", "kind"))
 on_cells(
     "inf_categorical",
     """, c AS (SELECT source_file, count(*) AS n, count(DISTINCT date) AS d0, count(DISTINCT description) + 1 AS d1, count(DISTINCT amount) AS d2 FROM num GROUP BY 1)
  SELECT source_file, 0 AS col, d0 <= 5 OR d0 <= n * 0.03 AS categorical FROM c UNION ALL SELECT source_file, 1, d1 <= 5 OR d1 <= (n + 1) * 0.03 FROM c UNION ALL SELECT source_file, 2, d2 <= 5 OR d2 <= n * 0.03 FROM c UNION ALL SELECT source_file, 3, true FROM c""",
-)(lambda rows: ingest.column_profiles(body(rows)).select("source_file", "col", "categorical"))
+)(lambda rows: ingest.column_profiles(St.body(rows)).select("source_file", "col", "categorical"))
 on_cells("inf_neutral_sign", "SELECT source_file, CASE WHEN count(CASE WHEN amount < 0 THEN 1 END) * 2 > count(CASE WHEN amount <> 0 THEN 1 END) THEN false END AS invert FROM num GROUP BY 1")(
-    lambda rows: ingest.column_profiles(body(rows)).where("col = 2").select("source_file", F.when(F.col("negatives") * 2 > F.col("nonzero"), F.lit(False)).alias("invert"))
+    lambda rows: ingest.column_profiles(St.body(rows)).where("col = 2").select("source_file", F.when(F.col("negatives") * 2 > F.col("nonzero"), F.lit(False)).alias("invert"))
 )
-on_cells("inf_sample")(lambda rows: ingest.rare_rows(body(rows)))
+on_cells("inf_sample")(lambda rows: ingest.rare_rows(St.body(rows)))
 SCHEMA = ingest.StatementSchema(date=0, description=1, amount=2)
 
 
 def imported(rows: DataFrame) -> DataFrame:
-    return ingest.canonical(body(rows), SCHEMA, F.lit("main"), transfer_words=["ring"])
+    return ingest.canonical(St.body(rows), SCHEMA, F.lit("main"), transfer_words=["ring"])
 
 
 TYPE = "CASE WHEN contains(description, 'ring') THEN CASE WHEN amount < 0 THEN 'internal_out' ELSE 'internal_in' END WHEN amount > 0 THEN 'income' ELSE 'expense' END AS tx_type"

@@ -53,7 +53,12 @@ def cells(line: Column, delimiter: Column) -> Column:
 
 
 def with_cells(lines: DataFrame) -> DataFrame:
-    return lines.join(delimiters(lines), "source_file").withColumn("cells", cells(F.col("line"), F.col("delimiter"))).select("source_file", "row_idx", "line", "cells")
+    """Lines with their cells. The delimiter is counted over a window of the file, so that later steps by file need no other shuffle."""
+    per = Window.partitionBy("source_file")
+    count = lambda d: F.sum(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).over(per)
+    counted = lines.select("source_file", "row_idx", "line", *[count(d).alias(f"_n{i}") for i, d in enumerate(DELIMITERS)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"_n{i}").alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]))
+    return counted.withColumn("cells", cells(F.col("line"), best.getField("d"))).select("source_file", "row_idx", "line", "cells")
 
 
 def filled(c: Column) -> Column:
@@ -64,12 +69,23 @@ def density(c: Column) -> Column:
     return F.try_divide(filled(c), F.size(c))
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
-    """(source_file, header_idx, certain): of the first lines the densest, then the one with most text fields, then the first."""
+def _header_rank() -> Column:
+    """Of the first lines the densest, then the one with most text fields, then the first."""
     text = F.size(F.filter("cells", lambda x: x.isNotNull() & ~F.regexp(x, F.lit(r"^[\d.,\-+\s€$£%]+$"))))
-    scored = rows.where(F.col("row_idx") < HEAD_LINES).select("source_file", "row_idx", density(F.col("cells")).alias("d"), text.alias("t"))
-    best = F.min(F.struct((-F.col("d")).alias("d"), (-F.col("t")).alias("t"), "row_idx"))
-    return scored.groupBy("source_file").agg(best.alias("b")).select("source_file", F.col("b.row_idx").alias("header_idx"), ((F.col("b.d") <= -0.5) & (F.col("b.t") <= -2)).alias("certain"))
+    rank = F.struct((-density(F.col("cells"))).alias("d"), (-text).alias("t"), F.col("row_idx"))
+    return F.when(F.col("row_idx") < HEAD_LINES, rank)
+
+
+def header_rows(rows: DataFrame) -> DataFrame:
+    """(source_file, header_idx, certain)."""
+    best = rows.select("source_file", _header_rank().alias("r")).groupBy("source_file").agg(F.min("r").alias("b"))
+    return best.select("source_file", F.col("b.row_idx").alias("header_idx"), ((F.col("b.d") <= -0.5) & (F.col("b.t") <= -2)).alias("certain"))
+
+
+def body(rows: DataFrame) -> DataFrame:
+    """The rows under the header."""
+    found = rows.withColumn("_r", _header_rank()).withColumn("_h", F.min("_r").over(_per_file()).getField("row_idx"))
+    return found.where(F.col("row_idx") > F.col("_h")).drop("_r", "_h")
 
 
 def header_hash(lines: DataFrame, n: int = 30) -> DataFrame:
@@ -133,10 +149,11 @@ def _strip_bottom(rows: DataFrame, bad: Column, least: int) -> DataFrame:
 
 def strip_footer_outliers(rows: DataFrame) -> DataFrame:
     """Drops the run of rows at the bottom less dense than the lower fence Q1 - 1.5 IQR, quartiles without interpolation."""
-    d = rows.withColumn("_d", density(F.col("cells")))
-    all_d = F.array_sort(F.collect_list("_d").over(_per_file()))
-    q = d.withColumn("_a", all_d).withColumn("_q1", F.get("_a", F.floor(F.size("_a") / 4).cast("int"))).withColumn("_q3", F.get("_a", F.floor(F.size("_a") * 3 / 4).cast("int")))
-    return _strip_bottom(q.drop("_a"), F.col("_d") < F.col("_q1") - (F.col("_q3") - F.col("_q1")) * 1.5, 5).drop("_d", "_q1", "_q3")
+    place = Window.partitionBy("source_file").orderBy("_d")
+    d = rows.withColumn("_d", density(F.col("cells"))).withColumn("_p", F.row_number().over(place) - 1).withColumn("_m", F.count(F.lit(1)).over(_per_file()))
+    at = lambda share: F.max(F.when(F.col("_p") == F.floor(F.col("_m") * share), F.col("_d"))).over(_per_file())
+    q = d.withColumn("_q1", at(0.25)).withColumn("_q3", at(0.75)).drop("_p", "_m")
+    return _strip_bottom(q, F.col("_d") < F.col("_q1") - (F.col("_q3") - F.col("_q1")) * 1.5, 5).drop("_d", "_q1", "_q3")
 
 
 def strip_footer_missing(rows: DataFrame, mandatory: list[int]) -> DataFrame:
