@@ -115,7 +115,8 @@ def bound_features(docs: list[list[str]], toxic: list[bool]) -> set[str]:
 
 def train(texts: list[str], toxic: list[bool], rounds: int = 40) -> ChainModel:
     """Fits the CRF by full-batch Adagrad on the log-likelihood of the derived tags, then calibrates."""
-    docs = [tokens_of(t) for t in texts]
+    words: dict[str, str] = {}
+    docs = [[words.setdefault(w, w) for w in tokens_of(t)] for t in texts]  # one string a word, not one a token
     bound = bound_features(docs, toxic)
     if not bound:
         return ChainModel()
