@@ -9,7 +9,7 @@ distance is verified inside the join, which emits each pair once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -105,13 +105,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(names, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row of ``docs`` for each class: that of the id which names it; of rows alike in id and fingerprint, any.
 
     Where an id (or null) stands for several texts, rows are told apart by id
-    and fingerprint.
+    and fingerprint. Another kind of class comes with ``mark``, its fp of a text.
     """
-    near = saved(near_duplicates(docs))
+    near = saved(classes(docs))
     named = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = saved(named.groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("k"), F.count(F.lit(1)).alias("rows")).select("k.doc_id", "k.fp", "rows"))
     whole = docs.select(F.struct("*").alias("row"))
@@ -119,7 +119,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if shared.isEmpty():
         kept = whole.join(keep.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
     else:
-        texts = docs.select(F.struct("*").alias("row"), _fingerprint_column(F.col("text").cast("string")).alias("at"))
+        texts = docs.select(F.struct("*").alias("row"), (mark or _fingerprint_column)(F.col("text").cast("string")).alias("at"))
         kept = texts.join(keep.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("fp")))
     if keep.where("rows > 1").isEmpty():
         return kept.select("row.*")
