@@ -66,5 +66,6 @@ def chunks(docs: DataFrame, most: int = 500) -> DataFrame:
 
 def faq_entries(texts: DataFrame) -> DataFrame:
     """Markdown to (question, text): headings of the second level and what follows them."""
-    part = F.explode(F.slice(F.split(F.concat(F.lit("\n"), F.col("text")), r"\n##\s+", -1), F.lit(2), F.lit(10_000)))
+    parts = F.split(F.concat(F.lit("\n"), F.col("text")), r"\n##\s+", -1)
+    part = F.explode(F.slice(parts, F.lit(2), F.size(parts)))
     return texts.select(part.alias("p")).select(F.trim(F.split("p", "\n", 2)[0]).alias("question"), F.btrim(F.coalesce(F.get(F.split("p", "\n", 2), 1), F.lit("")), F.lit(" \n\r\t")).alias("text"))
