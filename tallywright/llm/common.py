@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than the six ASCII white-space characters.
@@ -16,16 +16,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it cuts the lineage and outlives a lost executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. A local session that names none gets a temporary folder; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tallywright-")
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that
-    names none (a local test) gets a temporary one.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: it cuts the lineage and outlives a lost executor."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywright-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -43,6 +48,42 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
+#: A key is heavy if it has more than this share of the rows; so there are fewer than 1/HEAVY of them.
+HEAVY = 1 / 1000
+
+
+def joined_by_heavy(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one row a key; ``facts.n`` is the number of rows the key has.
+
+    Fewer than 1000 keys can have more than a thousandth of the rows. Their
+    facts are broadcast, so that no task gets a hot key; the others shuffle.
+    Both inputs are read twice, so they come checkpointed.
+    """
+    total = facts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    hot = F.col(n) > F.lit(total * HEAVY)
+    heavy = F.broadcast(saved(facts.where(hot)))
+    few = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts.where(~hot), key)
+    return rows.join(heavy, key).unionByName(few)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "_tw_rank") -> DataFrame:
+    """Adds a number from 1 on to the rows of each key, without bringing a key's rows to one task.
+
+    The rows are checkpointed first, so their order is a fact of the stored
+    files and not of a run. Keys may be null.
+    """
+    at = saved(rows.withColumn("_tw_at", F.monotonically_increasing_id())).withColumn("_tw_part", F.shiftrightunsigned("_tw_at", 33))
+    counts = at.groupBy(*keys, "_tw_part").agg(F.count(F.lit(1)).alias("_tw_n"))
+    before = F.coalesce(F.sum("_tw_n").over(Window.partitionBy(*keys).orderBy("_tw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_tw_part").alias("_o_part"), before.alias("_tw_before"))
+    same = F.col("_tw_part") == F.col("_o_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_tw_part").orderBy("_tw_at"))
+    out = at.withColumn("_tw_inside", inside).join(offsets, same).withColumn(name, F.col("_tw_before") + F.col("_tw_inside"))
+    return out.select(*rows.columns, name)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected graph given as (a, b) longs.
 
@@ -73,3 +114,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for m in moves[1:]:
         out = out.join(m.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return out
+
+
+def with_classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, root) for rows (doc_id, fp) and roots (fp, root); a fingerprint without a root is its own.
+
+    component_id is the smallest doc_id of the class. A fingerprint or a class
+    may hold any share of the rows.
+    """
+    each = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = saved(each.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    classes = saved(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    names = saved(joined_by_heavy(named, classes, "root", "members").select("fp", "n", "component_id", "root"))
+    return joined_by_heavy(rows, names, "fp", "n").select("doc_id", "fp", "component_id", "root")

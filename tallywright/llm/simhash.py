@@ -3,8 +3,10 @@
 A fingerprint of 64 bits is cut into three segments. Two fingerprints that
 differ in at most four bits differ in at most one bit in one of them, so the
 index holds, for each segment and each bit position in it, the segment with
-that bit wildcarded: 64 keys a fingerprint. Equal keys are joined and the full
-distance is verified inside the join, which emits each pair once.
+that bit wildcarded: 64 keys a fingerprint. Members of equal keys are verified
+by the full distance: first all of a key against one of them, which joins a
+group of copies by a star in place of all its pairs, then those of a key that
+are still of different classes against each other.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import connected_components, saved
+from .common import connected_components, saved, with_classes
 
 #: (offset, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -70,23 +72,31 @@ def _keys(fp: Column) -> Column:
     return F.array(*out)
 
 
-def _first_shared(x: Column) -> Column:
-    """The tag (segment and wildcard) under which a pair with this XOR is emitted."""
-    tag = None
-    for s, (at, width) in reversed(list(enumerate(SEGMENTS))):
-        part = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        here = F.when(part == 0, F.lit(s * 32)).otherwise(F.lit(s * 32) + F.bit_count(part - 1))
-        tag = here if tag is None else F.when(F.bit_count(part) <= 1, here).otherwise(tag)
-    return tag
+def fingerprint_classes(nodes: DataFrame, accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the distinct nodes (node, fp), both longs, over links at most MAX_BITS apart; nodes without a link may be missing.
 
-
-def close_pairs(fps: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of the distinct fingerprints ``fp`` at most MAX_BITS apart."""
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select(F.col("key").alias("key_b"), F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & (F.shiftrightunsigned(F.col("key"), 32) == _first_shared(x))
-    return left.join(right, (F.col("key") == F.col("key_b")) & near).select("a", "b")
+    ``accept`` keeps those of the pairs (a, b) that count as links; by default all.
+    A key's members meet only where its classes differ, and there those of its
+    largest class do not meet each other.
+    """
+    accept = accept or (lambda pairs: pairs)
+    keyed = nodes.select("node", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = saved(keyed.join(shared, "key").select("key", "node", "fp", "low"))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
+    star = members.where((F.col("node") != F.col("low.node")) & near("fp", "low.fp")).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = saved(connected_components(accept(star)))
+    now = saved(members.join(stars, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")))
+    kinds = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = saved(now.join(kinds.select("key", "most"), "key"))
+    left = mixed.where("root <> most").select("key", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
+    right = mixed.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
+    met = left.join(right, "key").where((F.col("root_a") != F.col("root_b")) & near("fp_a", "fp_b"))
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first(F.struct("root_a", "root_b")).alias("roots"))
+    links = connected_components(pairs.join(accept(pairs.select("a", "b")), ["a", "b"]).select(F.col("roots.root_a").alias("a"), F.col("roots.root_b").alias("b")))
+    moved = links.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    alone = links.join(stars.select("node"), "node", "left_anti")
+    return stars.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -94,15 +104,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty; empty texts share fingerprint 0 and one class.
     Repeated rows stay repeated. Null ids never become a component_id unless a
-    class has no other. An empty table gives an empty result.
+    class has no other. A text of any length is read whole. Other columns are
+    not read. An empty table gives an empty result.
     """
     rows = saved(fingerprints(docs))
-    each = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(close_pairs(each.select("fp"))).withColumnRenamed("node", "fp")
-    named = each.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(classes, "root").select("fp", "component_id", "root")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id", "root")
+    roots = fingerprint_classes(rows.select(F.col("fp").alias("node"), "fp").distinct()).withColumnRenamed("node", "fp")
+    return with_classes(rows, roots)
 
 
 def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates, mark: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def test_chains_link_through_neighbours(make):
     assert got(simhash.near_duplicates(make(rows))) == slow_components([(i, t) for i, t, *_ in rows])
 
 
-def test_close_pairs_are_all_found_once(spark):
+def test_classes_of_fingerprints_are_those_of_all_pairs(spark):
     import random
 
     rng = random.Random(5)
@@ -73,10 +73,25 @@ def test_close_pairs_are_all_found_once(spark):
     for b in base:
         for k in range(1, 7):
             fps.add(b ^ sum(1 << i for i in rng.sample(range(64), k)))
+    for b in base[:8]:  # chains, of which the ends are far apart
+        for k in range(12):
+            b ^= sum(1 << i for i in rng.sample(range(64), 4))
+            fps.add(b)
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    pairs = [(r["a"], r["b"]) for r in simhash.close_pairs(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()]
-    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    got = {r["node"]: r["root"] for r in simhash.fingerprint_classes(spark.createDataFrame([(f, f) for f in signed], "node long, fp long")).collect()}
+    root = {f: f for f in signed}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                root[find(a)] = find(b)
+    classes = lambda of: sorted(sorted(f for f in signed if of(f) == r) for r in {of(f) for f in signed})
+    assert classes(lambda f: got.get(f, f)) == classes(find)
 
 
 def test_query_on_a_whole_table(spark):
