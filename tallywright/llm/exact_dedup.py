@@ -8,7 +8,6 @@ digests are grouped and joined in the ordinary way.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,15 +20,13 @@ from .common import saved
 COUNTERS = 1024
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sha = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").lower()).digest() for t in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array(sha, pa.binary())], names=["doc_id", "sha"])
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, sha): SHA-256 of the text with A-Z lower-cased; null counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests, "doc_id long, sha binary")
+    plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(plain.cast("binary"), 256)).alias("sha"))
 
 
 def misra_gries(counters: int):
@@ -68,9 +65,11 @@ def heavy_digests(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the largest doc_id stays. Null ids lose to any
-    other. Where the winning id itself is repeated within a group, exactly one
-    of its rows is kept; such rows are equal in every returned column.
+    Of equal texts the row with the largest doc_id stays. Null texts are equal
+    to empty ones. Null ids lose to any other. Where the winning id itself is
+    repeated within a group (a tie), exactly one of its rows is kept; such rows
+    are equal in every returned column. Texts of any length are hashed whole,
+    other columns are not read, and an empty table gives an empty result.
     """
     rows = saved(digests(docs))
     heavy = F.broadcast(heavy_digests(rows, counters))
