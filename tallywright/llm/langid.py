@@ -3,9 +3,15 @@
 A language's model is a tree of byte contexts up to ``ORDER`` bytes. A byte
 seen in a context costs its frequency there; any other costs an escape and is
 coded in the next shorter context (method C, no exclusions), down to a uniform
-byte. Statistics are frozen after training, so the cost of a byte depends on
-the last ORDER + 1 bytes alone and the costs of all languages are looked up
-together: exact code lengths, a few gathers a byte.
+byte. Statistics are frozen after training and every context that training
+saw is kept, so the code lengths are exact.
+
+Counts of four-byte strings are all the statistics there are: Spark sums them
+over the training rows, and shorter contexts follow from them. The tree is
+stored as sorted strings with a bitmap of next bytes for each context, a few
+dozen bytes a context whatever the number of languages; costs are kept for
+blocks of languages, so that a language costs memory only for what its
+neighbours in the block have seen.
 """
 
 from __future__ import annotations
@@ -20,177 +26,213 @@ from pyspark.sql import functions as F
 
 from .common import fold_of
 
-#: About so many documents of each language train its model, chosen by a hash of the id.
+#: About so many documents of each language train its model, chosen by a hash of the row.
 MAX_DOCS = 300
-#: Contexts of three bytes that a model keeps at most; the rarest go first and fall back to shorter ones.
-MAX_CONTEXTS = 40_000
 ORDER = 3
+#: Languages whose costs are looked up together.
+BLOCK = 8
 _CHUNK = 1 << 18
 
 
 @dataclass
 class PpmModel:
-    """Costs in bits by language. Only what training saw is kept; ``Tables`` lays it out for lookup."""
+    """For each language its distinct four-byte strings, as numbers in ascending order, and their counts."""
 
     langs: list[str]
-    pairs: np.ndarray  # (65536, langs): a byte after one byte
-    after_two: np.ndarray  # known contexts of two bytes
-    escape_two: np.ndarray  # their escapes
-    short_keys: np.ndarray  # grams of three bytes that some language has seen
-    short_costs: np.ndarray  # nan where a language has not
-    after_three: np.ndarray
-    escape_three: np.ndarray
-    long_keys: np.ndarray
-    long_costs: np.ndarray
+    grams: list[np.ndarray]
+    counts: list[np.ndarray]
+
+
+def _order(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of ``k`` bytes: strings of k + 1 bytes with their bits, and contexts with the bits of their escape."""
+    keys, at = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    n = np.bincount(at, counts, len(keys))
+    contexts, at = np.unique(keys >> 8, return_inverse=True)
+    total, kinds = np.bincount(at, n), np.bincount(at)
+    return keys, np.log2(total + kinds)[at] - np.log2(n), contexts, np.log2(total + kinds) - np.log2(kinds)
+
+
+class _Known:
+    """A set of strings of k + 1 bytes: the place of each, by its context's place and its last byte."""
+
+    def __init__(self, keys: np.ndarray, context_of: np.ndarray):
+        row, byte = context_of, (keys & 255).astype(np.uint64)
+        words = np.zeros((int(row.max(initial=-1)) + 2, 4), np.uint64)
+        np.bitwise_or.at(words, (row, (byte >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (byte & np.uint64(63)))
+        self.words = words.ravel()
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.first = np.concatenate(([0], np.cumsum(ones)[:-1])).astype(np.int32)
+
+    def find(self, row: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Places, -1 for unknown strings; ``row`` -1 is the empty last row."""
+        at = np.where(row < 0, len(self.words) // 4 - 1, row) * 4 + (byte >> 6)
+        word, bit = self.words[at], np.uint64(1) << (byte & 63).astype(np.uint64)
+        place = self.first[at] + np.bitwise_count(word & (bit - np.uint64(1)))
+        return np.where(word & bit, place, -1)
 
 
 class Tables:
-    """Dense lookup: ``index`` from three bytes to a row of ``short``; ``contexts`` from three bytes to a
-    row (0: unknown), and ``nexts`` from row and byte to a row of ``long`` (-1: escape)."""
-
-    def __init__(self, m: PpmModel):
-        self.langs = m.langs
-        tail = np.arange(256)
-        self.index = np.tile(np.arange(1 << 16, dtype=np.int32), 256)
-        blocks = m.pairs.reshape(256, 256, -1)[m.after_two & 255] + m.escape_two[:, None, :]
-        at = (1 << 16) + 256 * np.arange(len(m.after_two))
-        self.index[(m.after_two[:, None] << 8) | tail] = at[:, None] + tail
-        self.short = np.concatenate((m.pairs, blocks.reshape(-1, len(m.langs)))).astype(np.float32)
-        seen = self.short[self.index[m.short_keys]]
-        self.short[self.index[m.short_keys]] = np.where(np.isnan(m.short_costs), seen, m.short_costs)
-        self.contexts = np.zeros(1 << 24, np.int32)
-        self.contexts[m.after_three] = np.arange(1, len(m.after_three) + 1)
-        self.escapes = np.concatenate((np.zeros((1, len(m.langs))), m.escape_three)).astype(np.float32)
-        self.nexts = np.full((len(m.after_three) + 1, 256), -1, np.int32)
-        row = self.contexts[m.long_keys >> 8]
-        self.nexts[row, m.long_keys & 255] = np.arange(len(m.long_keys))
-        lower = self.short[self.index[m.long_keys & 0xFFFFFF]] + self.escapes[row]
-        self.long = np.where(np.isnan(m.long_costs), lower, m.long_costs).astype(np.float32)
+    """Costs of a block of languages: by order, the known strings, their costs (nan: not seen by this language) and escapes."""
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
+        self.langs, n = langs, len(langs)
+        orders = [[_order(g, c, k) for g, c in zip(grams, counts)] for k in range(ORDER + 1)]
+        # after one byte: every pair, escapes and the uniform byte included; an unseen context costs no escape
+        pairs = np.zeros((1 << 16, n))
+        for j in range(n):
+            keys, bits, _, escape = orders[0][j]
+            single = np.full(256, escape[0] + 8.0)
+            single[keys] = bits
+            keys, bits, contexts, escape = orders[1][j]
+            table = np.tile(single, (256, 1))
+            table[contexts] += escape[:, None]
+            table.ravel()[keys] = bits
+            pairs[:, j] = table.ravel()
+        self.pairs = pairs.astype(np.float32)
+        # after two bytes
+        two = np.unique(np.concatenate([o[2] for o in orders[2]]))
+        self.row_of_two = np.full(1 << 16, -1, np.int64)
+        self.row_of_two[two] = np.arange(len(two))
+        self.escape_two = self._spread(two, [(o[2], o[3]) for o in orders[2]], 0.0, spare=True)
+        # the contexts of three bytes need a place, too; their first two bytes are a context, as a byte followed these
+        short = np.unique(np.concatenate([o[0] for o in orders[2]] + [o[2] for o in orders[3]]))
+        self.threes = _Known(short, self.row_of_two[short >> 8])
+        seen = self._spread(short, [(o[0], o[1]) for o in orders[2]], np.nan)
+        lower = self.pairs[short & 0xFFFF] + self.escape_two[self.row_of_two[short >> 8]]
+        self.short = np.where(np.isnan(seen), lower, seen).astype(np.float32)
+        # after three bytes; the row of a context is its place among the strings of three bytes
+        self.escape_three = self._spread(short, [(o[2], o[3]) for o in orders[3]], 0.0, spare=True)
+        long = np.unique(np.concatenate([o[0] for o in orders[3]]))
+        place = np.searchsorted(short, long >> 8)
+        self.fours = _Known(long, place)
+        seen = self._spread(long, [(o[0], o[1]) for o in orders[3]], np.nan)
+        self.long = np.where(np.isnan(seen), self._after_two(long & 0xFFFFFF) + self.escape_three[place], seen).astype(np.float32)
+
+    def _spread(self, keys: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], missing: float, spare: bool = False) -> np.ndarray:
+        """(keys, languages) of each language's values; ``spare`` adds a last row of ``missing`` for place -1."""
+        out = np.full((len(keys) + spare, len(parts)), missing, np.float32)
+        for j, (own, values) in enumerate(parts):
+            out[np.searchsorted(keys, own), j] = values
+        return out
+
+    def place_of_three(self, tri: np.ndarray) -> np.ndarray:
+        return self.threes.find(self.row_of_two[tri >> 8], tri & 255)
+
+    def _after_two(self, tri: np.ndarray) -> np.ndarray:
+        """Costs of the last of three bytes after the two before."""
+        place = self.place_of_three(tri)
+        cost = self.short[place]
+        new = place < 0
+        cost[new] = self.pairs[tri[new] & 0xFFFF] + self.escape_two[self.row_of_two[tri[new] >> 8]]
+        return cost
 
     def costs(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits by text and language. data: the texts' bytes, each after three zero bytes; starts: where each begins."""
         out = np.zeros((len(starts), len(self.langs)))
-        owner = np.searchsorted(starts, np.arange(len(data)), "right") - 1 if len(starts) > 1 else np.zeros(len(data), np.int64)
-        offset = np.arange(len(data)) - starts[owner]
+        ends = np.append(starts[1:], len(data))
         for i in range(0, len(data), _CHUNK):
-            at = np.arange(i, min(len(data), i + _CHUNK))
-            at = at[offset[at] >= ORDER]
-            if not len(at):
-                continue
-            d = data
-            tri = (d[at - 2].astype(np.int64) << 16) | (d[at - 1].astype(np.int64) << 8) | d[at]
-            prior = (d[at - 3].astype(np.int64) << 16) | (d[at - 2].astype(np.int64) << 8) | d[at - 1]
-            row = self.contexts[prior]
-            deep = self.nexts[row, d[at]]
-            cost = self.short[self.index[tri]] + self.escapes[row]
-            known = deep >= 0
-            cost[known] = self.long[deep[known]]
-            o = owner[at]
-            cut = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-            out[o[cut]] += np.add.reduceat(cost, cut, axis=0)
+            j = min(len(data), i + _CHUNK)
+            d = data[max(0, i - ORDER) : j].astype(np.int64)
+            pad = i - max(0, i - ORDER)
+            d = np.concatenate((np.zeros(ORDER - pad, np.int64), d))  # d[k + ORDER] is byte i + k
+            tri = (d[1:-2] << 16 | d[2:-1] << 8 | d[3:]) if len(d) > ORDER else np.zeros(0, np.int64)
+            prior = d[:-3] << 16 | d[1:-2] << 8 | d[2:-1]
+            row = self.place_of_three(prior)
+            deep = self.fours.find(row, d[3:])
+            cost = self.long[deep]
+            new = np.flatnonzero(deep < 0)
+            cost[new] = self._after_two(tri[new]) + self.escape_three[row[new]]
+            first, last = np.searchsorted(ends, i, "right"), np.searchsorted(starts, j, "left")
+            sums = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(cost, axis=0, dtype=np.float64)))
+            lo = np.clip(starts[first:last] + ORDER, i, j) - i
+            hi = np.clip(ends[first:last], i, j) - i
+            out[first:last] += sums[np.maximum(lo, hi)] - sums[lo]
         return out
 
+
+class Predictor:
+    """All languages of a model."""
+
+    def __init__(self, model: PpmModel):
+        self.langs = model.langs
+        n = len(model.langs)
+        self.blocks = [Tables(model.langs[i : i + BLOCK], model.grams[i : i + BLOCK], model.counts[i : i + BLOCK]) for i in range(0, n, BLOCK)]
+
     def code_lengths(self, texts: list[str | None]) -> np.ndarray:
+        """Exact bits by text and language."""
         pad = b"\0" * ORDER
         parts = [pad + (t or "").encode("utf-8", "surrogatepass") for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])).astype(np.int64)
-        return self.costs(np.frombuffer(b"".join(parts), np.uint8), starts)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        return np.hstack([b.costs(data, starts) for b in self.blocks])
 
 
-def _grams(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k-byte strings that end at each byte of the texts, zero bytes before the first, and their counts."""
-    data = np.frombuffer(b"".join(b"\0" * ORDER + t.encode("utf-8", "surrogatepass") for t in texts), np.uint8)
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The four-byte strings that end at each byte of the texts, zero bytes before the first, and their counts."""
+    parts = [b"\0" * ORDER + t.encode("utf-8", "surrogatepass") for t in texts if t]
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     real = np.ones(len(data), bool)
     at = 0
-    for t in texts:
+    for p in parts:
         real[at : at + ORDER] = False
-        at += ORDER + len(t.encode("utf-8", "surrogatepass"))
-    key = np.zeros(len(data), np.int64)
-    for j in range(k):
-        key |= np.roll(data, j).astype(np.int64) << (8 * j)
-    return np.unique(key[real], return_counts=True)
-
-
-def _costs(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, float]]:
-    """For one language, by order k: gram of k+1 bytes -> bits; and in [-1] escapes by (k, context)."""
-    out: list[dict[int, float]] = []
-    escapes: dict[tuple[int, int], float] = {}
-    for k, (keys, counts) in enumerate(grams):
-        ctx, inv = np.unique(keys >> 8, return_inverse=True)
-        total, kinds = np.bincount(inv, counts), np.bincount(inv)
-        bits = np.log2(total + kinds)[inv] - np.log2(counts)
-        out.append(dict(zip(keys.tolist(), bits.tolist())))
-        escapes |= {(k, c): e for c, e in zip(ctx.tolist(), (np.log2(total + kinds) - np.log2(kinds)).tolist())}
-    return [*out, escapes]
-
-
-def train(by_lang: dict[str, list[str]], max_contexts: int = MAX_CONTEXTS) -> PpmModel | None:
-    by_lang = {k: [t for t in v if t] for k, v in by_lang.items()}
-    langs = sorted(k for k, v in by_lang.items() if v)
-    if not langs:
-        return None
-    models, weight = [], {}
-    for lang in langs:
-        grams = [_grams(by_lang[lang], k + 1) for k in range(ORDER + 1)]
-        models.append(_costs(grams))
-        for key, n in zip((grams[ORDER][0] >> 8).tolist(), grams[ORDER][1].tolist()):
-            weight[key] = weight.get(key, 0) + n
-
-    n = len(langs)
-    pairs = np.zeros((1 << 16, n), np.float32)
-    for j, m in enumerate(models):
-        # a byte alone: seen, or escaped to the uniform byte; after an unseen byte nothing is paid for the escape
-        single = np.array([m[0].get(b, m[-1].get((0, 0), 0.0) + 8.0) for b in range(256)])
-        table = np.array([m[-1].get((1, c), 0.0) for c in range(256)])[:, None] + single[None]
-        table.ravel()[list(m[1])] = list(m[1].values())
-        pairs[:, j] = table.ravel()
-
-    def column(keys: list[int], get) -> np.ndarray:
-        return np.array([[get(m, k) for m in models] for k in keys], np.float32).reshape(-1, n)
-
-    after_two = sorted({c for m in models for k, c in m[-1] if k == 2})
-    short_keys = sorted({k for m in models for k in m[2]})
-    kept = sorted(weight, key=lambda c: (-weight[c], c))[:max_contexts]
-    rows = set(kept)
-    long_keys = sorted({k for m in models for k in m[3] if k >> 8 in rows})
-    whole = lambda keys: np.array(keys, np.int64)
-    return PpmModel(
-        langs, pairs,
-        whole(after_two), column(after_two, lambda m, c: m[-1].get((2, c), 0.0)),
-        whole(short_keys), column(short_keys, lambda m, k: m[2].get(k, np.nan)),
-        whole(kept), column(kept, lambda m, c: m[-1].get((3, c), 0.0)),
-        whole(long_keys), column(long_keys, lambda m, k: m[3].get(k, np.nan)),
-    )
-
-
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, list[str]]:
-    """The training texts by language, from rows outside fold 1 with a language and a text.
-
-    Rows whose hashed id falls under max_docs / (rows of the language) are
-    taken, about ``max_docs`` a language; this sample alone reaches the driver.
+        at += len(p)
+    end = np.flatnonzero(real)
+    return np.unique(data[end - 3] << 24 | data[end - 2] << 16 | data[end - 1] << 8 | data[end], return_counts=True)
+
+
+def train(by_lang: dict[str, list[str]]) -> PpmModel | None:
+    """A model of texts at hand; ``learn`` makes one of a table."""
+    counted = {k: gram_counts(v) for k, v in sorted(by_lang.items())}
+    kept = {k: x for k, x in counted.items() if len(x[0])}
+    return PpmModel(list(kept), [g for g, _ in kept.values()], [n for _, n in kept.values()]) if kept else None
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts: dict[str, list[str]] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+        for lang, part in texts.items():
+            grams, n = gram_counts(part)
+            yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+
+def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> PpmModel | None:
+    """A model of the rows outside fold 1 with a language and a text.
+
+    Rows whose hash falls under max_docs / (rows of the language) are taken,
+    about ``max_docs`` a language, repeated texts once. Spark counts their
+    four-byte strings; the counts alone reach the driver.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null")
     usable = usable.where(fold_of(F.col("doc_id")) != 1)
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_docs / n))])[F.col("lang")]
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    got = usable.where("text is not null").where(draw < share).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")
-    return {k: g["text"].tolist() for k, g in got.groupby("lang")}
+    sample = usable.where("text is not null").where(draw < share).select("lang", "text").distinct()
+    got = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
+    langs, grams, counts = got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy()
+    known = sorted(set(langs))
+    if not known:
+        return None
+    return PpmModel(known, [grams[langs == k] for k in known], [counts[langs == k] for k in known])
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for b in batches:
-            model = model or (Tables(PpmModel(**shared.value)) if shared.value else None)
+            model = model or (Predictor(PpmModel(**shared.value)) if shared.value else None)
             texts = b.column(1).to_pylist()
             lettered = [t is not None and any(map(str.isalpha, t)) for t in texts]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             todo = [i for i, ok in enumerate(lettered) if ok] if model else []
             i = 0
-            while i < len(todo):  # about a million bytes at a time
+            while i < len(todo):  # about a million characters at a time
                 j, n = i, 0
                 while j < len(todo) and (j == i or n < 1 << 20):
                     n += len(texts[todo[j]])
@@ -212,8 +254,11 @@ def languages(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
     ``score`` is the posterior of the language under equal priors. Texts that
     are null or have no letter, and all texts where no language could be
-    learned, are ``und`` with score 0.
+    learned, are ``und`` with score 0. Of languages with equal code lengths the
+    first by name wins. A text of any length is coded whole, in chunks; equal
+    rows get equal answers; other columns are not read; an empty table gives an
+    empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model) if (model := train(learn(docs, max_docs))) else None)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model) if (model := learn(docs, max_docs)) else None)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
