@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, saved
 
-#: At most so many labelled rows of each class train the model, lowest hash of the id first.
+#: At most so many labelled documents of each class and so many bytes of text train the model, lowest hash of the id first.
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
+MAX_BYTES = 16 << 20
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+")
-_WINDOW = 40
+#: Tokens whose transfer matrices are multiplied one after the other; the products of whole blocks carry the chain on.
+_STRIDE = 64
 _CACHE = 400_000
 _DEFAULT = math.log(1e-9)
 
@@ -90,7 +92,7 @@ def summary(odds: list[float]) -> tuple[float, float]:
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    return [t.lower() for t in _TOKEN.findall(text or "")]
 
 
 def bound_features(docs: list[list[str]], toxic: list[bool]) -> set[str]:
@@ -113,74 +115,116 @@ def bound_features(docs: list[list[str]], toxic: list[bool]) -> set[str]:
     return out
 
 
+class _Chains:
+    """Whole chains of any length, cut into blocks of _STRIDE tokens for vector operations; nothing is lost at the cuts.
+
+    A token's transfer matrix holds the transition and its potential, a
+    chain's first token none of the former, padding is the identity. Block
+    products carry forward and backward vectors along each chain, then all
+    blocks are gone through at once.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        lengths = lengths[lengths > 0]
+        blocks = -(-lengths // _STRIDE)
+        self.begin = np.concatenate(([0], np.cumsum(blocks)))[:-1]
+        self.count = int(blocks.sum())
+        self.order = np.argsort(-blocks, kind="stable")
+        self.blocks = blocks[self.order]
+        where = np.arange(self.count * _STRIDE).reshape(self.count, _STRIDE)
+        offset = where - np.repeat(self.begin, blocks)[:, None] * _STRIDE
+        self.real = (offset < np.repeat(lengths, blocks)[:, None]).T  # (stride, blocks), as all below
+        self.first = (offset == 0).T
+
+    def places(self) -> np.ndarray:
+        """Flat index of each token, chain by chain."""
+        k, b = np.nonzero(self.real.T)[::-1]
+        return k * self.count + b
+
+    def marginals(self, e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(T) of each token and the expected transitions; ``e``: potentials, (stride, blocks).
+
+        Vectors are kept as the ratio of T to O: forward r, backward s.
+        """
+        a = np.exp(trans)
+        first, real = self.first, self.real
+        w00, w01 = np.where(first | ~real, 1.0, a[0, 0]), np.where(real, np.where(first, e, a[0, 1] * e), 0.0)
+        w10, w11 = np.where(real, np.where(first, 1.0, a[1, 0]), 0.0), np.where(real, np.where(first, e, a[1, 1] * e), 1.0)
+        p00, p01, p10, p11 = w00[0], w01[0], w10[0], w11[0]
+        for k in range(1, _STRIDE):
+            p00, p01, p10, p11 = p00 * w00[k] + p01 * w10[k], p00 * w01[k] + p01 * w11[k], p10 * w00[k] + p11 * w10[k], p10 * w01[k] + p11 * w11[k]
+            if k % 4 == 0:
+                size = p00 + p01 + p10 + p11
+                p00, p01, p10, p11 = p00 / size, p01 / size, p10 / size, p11 / size
+        start, end = np.empty(self.count), np.empty(self.count)
+        chains, longest = len(self.blocks), int(self.blocks[0]) if len(self.blocks) else 0
+        reach = [self.begin[self.order[: int(np.searchsorted(-self.blocks, -j, "left"))]] + j for j in range(longest)]  # each chain's block j
+        r = np.zeros(chains)
+        for at in reach:
+            x = r[: len(at)]
+            start[at] = x
+            r[: len(at)] = (p01[at] + x * p11[at]) / (p00[at] + x * p10[at])
+        s = np.ones(chains)
+        for at in reversed(reach):
+            x = s[: len(at)]
+            end[at] = x
+            s[: len(at)] = (p10[at] + p11[at] * x) / (p00[at] + p01[at] * x)
+        forward = np.empty((_STRIDE + 1, self.count))
+        forward[0] = start
+        for k in range(_STRIDE):
+            x = forward[k]
+            forward[k + 1] = (w01[k] + x * w11[k]) / (w00[k] + x * w10[k])
+        p, pairs, s, inner = np.zeros(e.shape), np.zeros((2, 2)), end, real & ~first
+        for k in range(_STRIDE - 1, -1, -1):
+            both = forward[k + 1] * s
+            p[k] = both / (1 + both)
+            x = forward[k]
+            joint = w00[k], w01[k] * s, x * w10[k], x * w11[k] * s
+            share = inner[k] / (joint[0] + joint[1] + joint[2] + joint[3])
+            pairs += np.array([j @ share for j in joint]).reshape(2, 2)
+            s = (w10[k] + w11[k] * s) / (w00[k] + w01[k] * s)
+        return p * real, pairs
+
+
 def train(texts: list[str], toxic: list[bool], rounds: int = 40) -> ChainModel:
-    """Fits the CRF by full-batch Adagrad on the log-likelihood of the derived tags, then calibrates."""
+    """Fits the CRF by full-batch Adagrad on the log-likelihood of the derived tags of whole chains, then calibrates."""
     words: dict[str, str] = {}
     docs = [[words.setdefault(w, w) for w in tokens_of(t)] for t in texts]  # one string a word, not one a token
     bound = bound_features(docs, toxic)
     if not bound:
         return ChainModel()
-    known: dict[str, np.ndarray] = {}
     index = {f: i for i, f in enumerate(sorted(bound))}
-    # chains of at most _WINDOW tokens; only bound features carry weights, all others share the bias
-    rows, tags = [], []
+    # only bound features carry weights, all other tokens share the bias
+    known = {t: np.array([index[f] for f in features(t) if f in index], np.int64) for t in words}
+    chains = _Chains(np.array([len(d) for d in docs], np.int64))
+    place = chains.places()
+    at, feat, tags, t = [], [], np.zeros(len(place), bool), 0
     for tokens, y in zip(docs, toxic):
-        ids = []
-        for t in tokens:
-            if t not in known:
-                known[t] = np.array([index[f] for f in features(t) if f in index], np.int64)
-            ids.append(known[t])
-        hit = np.array([len(x) > 0 for x in ids], bool) if ids else np.zeros(0, bool)
-        for i in range(0, len(ids), _WINDOW):
-            if hit[i : i + _WINDOW].any() or i == 0:
-                rows.append(ids[i : i + _WINDOW])
-                tags.append(hit[i : i + _WINDOW] & y)
-    n, longest = len(rows), max(1, max(map(len, rows)))
-    y = np.zeros((n, longest), bool)
-    mask = np.zeros((n, longest), bool)
-    at, feat = [], []
-    for i, (r, t) in enumerate(zip(rows, tags)):
-        y[i, : len(r)], mask[i, : len(r)] = t, True
-        for j, x in enumerate(r):
-            at.extend([i * longest + j] * len(x))
-            feat.extend(x.tolist())
-    at_, feat_ = np.array(at, np.int64), np.array(feat, np.int64)
+        for token in tokens:
+            if len(x := known[token]):
+                at.append(np.full(len(x), t))
+                feat.append(x)
+                tags[t] = y
+            t += 1
+    at_, feat_ = place[np.concatenate(at)], np.concatenate(feat)
+    shape = (_STRIDE, chains.count)
+    y = np.zeros(shape)
+    y.ravel()[place] = tags
+    seen, inside = np.zeros((2, 2)), ~chains.first.ravel()[place[1:]]
+    np.add.at(seen, (tags[:-1].astype(int)[inside], tags[1:].astype(int)[inside]), 1)
     w, bias, trans = np.zeros(len(index)), -3.0, np.zeros((2, 2))
     gw, gb, gt = np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        e = np.full(n * longest, bias)
-        np.add.at(e, at_, w[feat_])
-        e = np.exp(np.clip(e, -30, 30)).reshape(n, longest)
-        a = np.exp(trans)
-        fwd = np.zeros((n, longest, 2))
-        bwd = np.ones((n, longest, 2))
-        v = np.ones((n, 2))
-        for t in range(longest):
-            v = (v @ a if t else v) * np.stack([np.ones(n), e[:, t]], 1)
-            v /= v.sum(1, keepdims=True)
-            fwd[:, t] = v
-        pair = np.zeros((2, 2))
-        for t in range(longest - 1, 0, -1):
-            nxt = bwd[:, t] * np.stack([np.ones(n), e[:, t]], 1) * mask[:, t, None] + (~mask[:, t, None]) * 1.0
-            b = np.where(mask[:, t, None], nxt @ a.T, 1.0)
-            joint = fwd[:, t - 1, :, None] * a[None] * nxt[:, None, :]
-            joint *= (mask[:, t] / joint.sum((1, 2)))[:, None, None]
-            pair += joint.sum(0)
-            bwd[:, t - 1] = b / b.sum(1, keepdims=True)
-        p = fwd * bwd
-        p = (p[:, :, 1] / p.sum(2)) * mask
-        err = (y & mask) - p
-        seen = np.zeros((2, 2))
-        both = mask[:, 1:]
-        for i in (0, 1):
-            for j in (0, 1):
-                seen[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
+        e = np.exp(np.clip(bias + np.bincount(at_, w[feat_], y.size), -30, 30)).reshape(shape)
+        p, pairs = chains.marginals(e, trans)
+        err = y - p
         dw = np.bincount(feat_, err.ravel()[at_], len(index)) - 0.5 * w
-        db, dt = err.sum(), seen - pair - 0.5 * trans
+        db, dt = err.sum(), seen - pairs - 0.5 * trans
         gw, gb, gt = gw + dw * dw, gb + db * db, gt + dt * dt
         w, bias, trans = w + 0.8 * dw / np.sqrt(gw), bias + 0.8 * db / math.sqrt(gb), trans + 0.5 * dt / np.sqrt(gt)
     model = ChainModel({f: float(w[i]) for f, i in index.items()}, float(bias), tuple(float(x) for x in trans.ravel()))
-    x = np.array([(1.0, *summary(model.odds([math.exp(max(-30.0, min(30.0, model.score(t)))) for t in d]))) for d in docs])
+    potential = {t: math.exp(max(-30.0, min(30.0, model.score(t)))) for t in words}
+    x = np.array([(1.0, *summary(model.odds([potential[t] for t in d]))) for d in docs])
     model.calibration = tuple(_logistic(x, np.array(toxic, float)))
     return model
 
@@ -197,19 +241,30 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return [float(v) for v in b]
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ChainModel:
+def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> ChainModel:
     """Trains on labelled documents outside fold 1; a document with any toxic label is toxic.
 
-    The sample, at most ``max_toxic`` + ``max_clean`` whole texts, is the only
-    thing that reaches the driver. Repeated texts count once.
+    The sample, at most ``max_toxic`` + ``max_clean`` whole texts, one an id,
+    of ``max_bytes`` together, is the only thing that reaches the driver.
+    Repeated texts count once.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(fold_of(F.col("doc_id")) != 1)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
     pick = lambda c, n: usable.where(c).orderBy("draw", "doc_id").limit(n)
-    sample = pick("toxic > 0", max_toxic).unionByName(pick("toxic = 0", max_clean)).select("doc_id", "toxic")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.toPandas().sort_values("doc_id").drop_duplicates("text").dropna(subset=["text"])
-    return train(got["text"].tolist(), [t > 0 for t in got["toxic"]])
+    sample = pick("toxic > 0", max_toxic).unionByName(pick("toxic = 0", max_clean))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null")
+    texts = saved(rows.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")))
+    sized = texts.select("doc_id", F.octet_length("text").alias("n")).orderBy("draw", "doc_id").collect()
+    left, ids = max_bytes, []
+    for r in sized:
+        if r["n"] <= left:
+            left -= r["n"]
+            ids.append(r["doc_id"])
+    got = (texts if len(ids) == len(sized) else texts.where(F.col("doc_id").isin(ids))).orderBy("doc_id").toArrow()
+    first: dict[str, bool] = {}
+    for text, toxic in zip(got["text"].to_pylist(), got["toxic"].to_pylist()):
+        first.setdefault(text, toxic > 0)
+    return train(list(first), list(first.values()))
 
 
 class Scorer:
@@ -231,14 +286,14 @@ class Scorer:
 
     def potentials(self, text: str | None) -> list[float]:
         met = self.met
-        tokens = tokens_of(text)
+        tokens = _TOKEN.findall(text or "")  # as written; potentials are those of the lower-case token
         out = list(map(met.get, tokens))
         if None in out:
             if len(met) > _CACHE:
                 met.clear()
             for i, e in enumerate(out):
                 if e is None:
-                    out[i] = met[tokens[i]] = self.potential(tokens[i])
+                    out[i] = met[tokens[i]] = self.potential(tokens[i].lower())
         return out
 
     def odds(self, text: str | None) -> list[float]:
@@ -263,11 +318,8 @@ class Scorer:
         if not any(o > 1 for o in odds):
             return []
         out: list[tuple[int, int]] = []
-        lowered = (text or "").lower()
-        if len(lowered) != len(text or ""):  # a few letters change their length; offsets are those of the text
-            lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
         last = False
-        for m, o in zip(_TOKEN.finditer(lowered), odds):
+        for m, o in zip(_TOKEN.finditer(text or ""), odds):
             if o > 1:
                 if last:
                     out[-1] = (out[-1][0], m.end())
@@ -296,7 +348,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ChainModel | None = None
 
     Null texts count as empty; an empty text scores as one without toxic
     tokens. Without labels of both classes outside fold 1 all scores are that
-    of the untrained model, below the threshold.
+    of the untrained model, below the threshold; a score at the threshold is
+    predicted toxic. A text of any length is one chain, scored whole; repeated
+    rows stay and get equal scores; other columns are not read; an empty table
+    gives an empty result.
     """
     model = model or learn(docs, labels)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(model), "doc_id long, score double, spans string")

@@ -55,6 +55,46 @@ def test_marginals_are_those_of_all_paths():
     assert np.allclose([o / (1 + o) for o in odds], each / total)
 
 
+def test_marginals_of_whole_chains_of_any_length():
+    """The blocks of training give the marginals of the plain recursion, and count every transition."""
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 63, 64, 65, 0, 200, 3, 129])
+    chains = toxicity._Chains(lengths)
+    trans = rng.normal(size=(2, 2))
+    e, values = np.ones(chains.real.shape), rng.exponential(1, lengths.sum())
+    e.ravel()[chains.places()] = values
+    p, pairs = chains.marginals(e, trans)
+    model, want, i = toxicity.ChainModel({}, 0.0, tuple(trans.ravel())), [], 0
+    for n in lengths:
+        want += [o / (1 + o) for o in model.odds(list(values[i : i + n]))]
+        i += n
+    assert np.allclose(p.ravel()[chains.places()], want) and math.isclose(pairs.sum(), (lengths - 1).clip(0).sum())
+
+
+def test_training_climbs_the_likelihood_of_all_tokens():
+    """The gradient's fixed point: expected tags and transitions of the trained chain are near the derived ones."""
+    texts = [" ".join(["bad" if (k * 7 + d) % 11 == 0 and d % 2 else f"w{(k * 3 + d) % 50}" for k in range(150)]) for d in range(60)]
+    toxic = [d % 2 == 1 for d in range(60)]
+    model = toxicity.train(texts, toxic)
+    expected = sum(o / (1 + o) for t in texts for o in model.odds([math.exp(model.score(w)) for w in t.split()]))
+    assert expected == pytest.approx(sum(t.split().count("bad") for t in texts), rel=0.1)
+
+
+def test_spans_are_offsets_of_the_text_as_written():
+    scorer = toxicity.Scorer(toxicity.ChainModel({"wbad": 12.0}, -6.0))
+    for text in ("xİy bad zz", "BAD İİ, bad", "𝔘 bad\u0130 Bad", "ß" * 9 + " bad"):
+        spans = scorer.spans(text, scorer.odds(text))
+        assert [text[s:e].lower() for s, e in spans] == ["bad"] * text.lower().replace("bad\u0069\u0307", "").count("bad")
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, make):
+    rows = toxic_rows()
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    whole = toxicity.learn(make(rows + rows), labels)  # repeated rows count once
+    assert whole.weights == toxicity.learn(make(rows), labels).weights and "wbadword" in whole.weights
+    assert not toxicity.learn(make(rows), labels, max_bytes=0).weights
+
+
 def test_toxicity_without_labels(spark, tricky, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["predicted"] == 0 for r in toxicity.toxicity(tricky, none).collect())
@@ -96,10 +136,29 @@ def slow_bits(model_texts, text, order=3):
 
 def test_code_lengths_are_exact():
     texts = {"x": ["abracadabra", "abc abd"], "y": ["zyzzyva äö", "zebra zoo"]}
-    tables = langid.Tables(langid.train(texts))
-    probes = ["abra", "zebra ä", "q", "abd abc zoo", "öö"]
+    model = langid.Predictor(langid.train(texts))
+    probes = ["abra", "zebra ä", "q", "abd abc zoo", "öö", "", "\0a\0"]
     want = [[slow_bits(texts[k], p) for k in sorted(texts)] for p in probes]
-    assert np.allclose(tables.code_lengths(probes), want, rtol=1e-4)
+    assert np.allclose(model.code_lengths(probes), want, rtol=1e-4)
+
+
+def test_code_lengths_of_many_languages_and_whole_texts(spark, monkeypatch):
+    """Twenty languages learned from real texts, every byte of twenty others; no context is left out, chunks do not matter."""
+    rows = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(320).collect() if r["text"]]
+    texts = {f"l{k:02}": rows[20 + k :: 25][:8] for k in range(20)}
+    model = langid.Predictor(langid.train(texts))
+    assert len(model.blocks) == 3
+    monkeypatch.setattr(langid, "_CHUNK", 997)
+    probes = [t[:1500] for t in rows[:20]]
+    for k, lang in enumerate(sorted(texts)):
+        assert np.allclose(model.code_lengths(probes)[:, k], [slow_bits(texts[lang], p) for p in probes], rtol=1e-4)
+
+
+def test_spark_counts_what_the_texts_hold(make):
+    rows = [(i, prose(9 + i % 5, i), "ab"[i % 2], "s") for i in range(60)] + [(100 + i, prose(9), "a", "s") for i in range(5)]
+    got = langid.learn(make(rows))
+    want = langid.train({k: sorted({t for i, t, lang, _ in rows if lang == k and zlib.crc32(str(i).encode()) % 3 != 1}) for k in "ab"})
+    assert got.langs == want.langs and all((a == b).all() for x, y in ((got.grams, want.grams), (got.counts, want.counts)) for a, b in zip(x, y))
 
 
 def test_language_of_tricky_rows(make, tricky, empty):
