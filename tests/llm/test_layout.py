@@ -74,6 +74,21 @@ def test_mixed_documents_repeat_rows(make):
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == {i: n for i, n in want.items() if n}
 
 
+def test_mixed_documents_of_shared_ids(make):
+    """Ids of several rows, null and hot ones too: the rows come out exactly as often as the mix takes them."""
+    rows = [(i % 10 if i % 3 else None, prose(15, i), "en", f"s{i % 2}") for i in range(60)] + [(7, prose(4 + i % 3, i), None, None) for i in range(40)]
+    docs = make(rows)
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["size"]] += r["taken"]
+    got = collections.Counter()
+    out = mixing.mixed_documents(docs).collect()
+    for r in out:
+        got[r["doc_id"], words(r["text"])] += words(r["text"])
+    assert got == collections.Counter({k: n for k, n in want.items() if n})
+    assert max(collections.Counter(map(tuple, out)).values()) <= 2 * max(collections.Counter((i, t) for i, t, *_ in rows).values())
+
+
 def slow_shards(rows, limit):
     """A directory that splits one bit at a time; (prefix, bytes) by row."""
     done = {}
@@ -132,7 +147,24 @@ def test_written_shards_hold_all_rows(spark, make, tmp_path):
     assert sum(1 for _ in (tmp_path / "out").glob("shard_id=*")) > 1
 
 
+def test_written_shards_of_shared_ids_keep_the_limit(spark, make, tmp_path):
+    limit = 2000
+    rows = [(1, "x" * 500, "en", f"s{i}") for i in range(50)] + [(None, "y" * 300, "en", "a")] * 30 + [(None, None, "en", "a")] * 9 + [(2, "z" * 5000, "en", "a"), (3, "short", "en", "a")]
+    docs = make(rows)
+    sharding.write_shards(docs, str(tmp_path / "out"), limit)
+    back = spark.read.parquet(str(tmp_path / "out")).select("row.*", sharding.F.col("shard_id").alias("at")).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in back) == collections.Counter((i, t, s) for i, t, _, s in rows)
+    size, count = collections.Counter(), collections.Counter()
+    for r in back:
+        size[r["at"]] += len(r["text"] or "")
+        count[r["at"]] += 1
+    assert all(b <= limit or count[s] == 1 for s, b in size.items())
+    ours = collections.Counter((r["shard_id"], r["page"], r["shard_bytes"]) for r in sharding.shards(docs, limit).collect())
+    assert ours == collections.Counter((r["shard_id"], r["page"], r["shard_bytes"]) for r in sharding.sharded_documents(docs, limit).collect())
+
+
 def test_empty_tables(empty):
     assert mixing.mix(empty).collect() == []
     assert mixing.mixed_documents(empty).collect() == []
     assert sharding.shards(empty).collect() == []
+    assert sharding.sharded_documents(empty).collect() == []
