@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +35,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stored:
+    """A table written to the shared folder. Unlike a checkpoint it carries no estimates along, which rounds of joins would multiply to numbers of many digits."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tallywright-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        """Once nothing reads the table any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -93,21 +108,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     logarithmic in the longest path. Every round is joins and pre-aggregated
     minima over the remaining edges; only "are edges left" reaches the driver.
     """
-    edges = saved(edges.where("a != b").distinct())
+    at = Stored(edges.where("a != b").distinct())
     moves: list[DataFrame] = []
-    while not edges.isEmpty():
+    while not at.df.isEmpty():
+        edges = at.df
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(moves))).alias("p"), F.col(c).alias("n"))  # noqa: E731, B023
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        move = saved(
+        move = Stored(
             both.groupBy("a").agg(F.min(rank("b")).alias("m"))
             .select(F.col("a").alias("node"), F.least("m", rank("a")).getField("n").alias("to"))
-        )
+        ).df
         moves.append(move)
-        at = lambda c: move.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: E731, B023
-        edges = saved(
-            edges.join(at("a"), "a").join(at("b"), "b").where("to_a != to_b")
+        to = lambda c: move.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: E731, B023
+        last, at = at, Stored(
+            edges.join(to("a"), "a").join(to("b"), "b").where("to_a != to_b")
             .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         )
+        last.remove()
+    edges = at.df
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = moves[0].withColumnRenamed("to", "root")

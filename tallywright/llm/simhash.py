@@ -30,6 +30,16 @@ SEED = 42
 _BLOCK = 1 << 15
 
 
+def majority(count: np.ndarray, hashes: np.ndarray) -> None:
+    """Adds to ``count`` how many of the hashes have each of the 64 bits set."""
+    count += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def packed(count: np.ndarray, n: int) -> int:
+    """The bits set in over half of ``n`` hashes."""
+    return int(np.packbits(count * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of the word shingles of one text, as an unsigned 64-bit number."""
     from xxhash import xxh64_intdigest
@@ -47,8 +57,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     for i in range(0, n, _BLOCK):
         j = min(n, i + _BLOCK)
         h = np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[i:j], last[i + k - 1 : j + k - 1])), np.uint64, j - i)
-        count += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(count * 2 > n, bitorder="little").view("<u8")[0])
+        majority(count, h)
+    return packed(count, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,28 +82,36 @@ def _keys(fp: Column) -> Column:
     return F.array(*out)
 
 
-def fingerprint_classes(nodes: DataFrame, accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _near(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, fp, low) of the distinct nodes (node, fp), both longs, that share a key with another; low: the least (node, fp) of the key."""
+    keyed = nodes.select("node", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return saved(keyed.join(shared, "key").select("key", "node", "fp", "low"))
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) at most MAX_BITS apart of which one is the least of a key they share: as many as keys and members at most."""
+    return members.where((F.col("node") != F.col("low.node")) & _near("fp", "low.fp")).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def fingerprint_classes(nodes: DataFrame) -> DataFrame:
     """(node, root) of the distinct nodes (node, fp), both longs, over links at most MAX_BITS apart; nodes without a link may be missing.
 
-    ``accept`` keeps those of the pairs (a, b) that count as links; by default all.
     A key's members meet only where its classes differ, and there those of its
     largest class do not meet each other.
     """
-    accept = accept or (lambda pairs: pairs)
-    keyed = nodes.select("node", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = saved(keyed.join(shared, "key").select("key", "node", "fp", "low"))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
-    star = members.where((F.col("node") != F.col("low.node")) & near("fp", "low.fp")).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
-    stars = saved(connected_components(accept(star)))
+    members = bucket_members(nodes)
+    stars = saved(connected_components(star_pairs(members)))
     now = saved(members.join(stars, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")))
     kinds = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = saved(now.join(kinds.select("key", "most"), "key"))
-    left = mixed.where("root <> most").select("key", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    met = left.join(right, "key").where((F.col("root_a") != F.col("root_b")) & near("fp_a", "fp_b"))
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first(F.struct("root_a", "root_b")).alias("roots"))
-    links = connected_components(pairs.join(accept(pairs.select("a", "b")), ["a", "b"]).select(F.col("roots.root_a").alias("a"), F.col("roots.root_b").alias("b")))
+    left = mixed.where("root <> most").select("key", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
+    right = mixed.select("key", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
+    links = connected_components(left.join(right, "key").where((F.col("a") != F.col("b")) & _near("fp_a", "fp_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     moved = links.select(F.col("node").alias("root"), F.col("root").alias("to"))
     alone = links.join(stars.select("node"), "node", "left_anti")
     return stars.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
