@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .filters import rule_matches
 
-#: Up to so many rules become one expression; more are joined.
-INLINE_RULES = 200
+
+def compiles(pattern: str) -> bool:
+    """Whether the regular expressions of the engine can read the pattern; rules that they cannot are skipped."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except IllegalArgumentException:
+        return False
 
 
 def inline_rules(rules: list[dict]) -> Column:
     """The first rule that matches, by priority (high first), then id: a struct, or null.
 
     A rule: id, pattern, match_type, category, subcategory, priority, and
-    optionally doc_type, which then must equal the row's.
+    optionally doc_type, which then must equal the row's. Any number of rules
+    is one expression over the row. A regex that does not compile is skipped;
+    an unknown match type is refused.
     """
     out = []
     for r in sorted(rules, key=lambda r: (-r["priority"], r["id"])):
+        if r["match_type"] == "regex" and not compiles(r["pattern"]):
+            continue
         hit = rule_matches(r["pattern"], r["match_type"])
         if r.get("doc_type"):
             hit &= F.coalesce(F.col("doc_type") == r["doc_type"], F.lit(True))
@@ -28,38 +39,30 @@ def inline_rules(rules: list[dict]) -> Column:
 
 def apply_rules(ledger: DataFrame, rules: list[dict]) -> DataFrame:
     """id, rule_id, category, subcategory of the rows that some rule matches."""
-    if len(rules) <= INLINE_RULES:
-        return ledger.withColumn("r", inline_rules(rules)).where("r is not null").select("id", "r.rule_id", "r.category", "r.subcategory")
-    return join_rules(ledger, ledger.sparkSession.createDataFrame(rules))
+    return ledger.withColumn("r", inline_rules(rules)).where("r is not null").select("id", "r.rule_id", "r.category", "r.subcategory")
 
 
 def join_rules(ledger: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for a table of rules: distinct descriptions meet the rules, the best rule of each is kept.
-
-    Rules are written by hand, so their table is small; descriptions are made
-    distinct first, and min() combines before the shuffle.
-    """
-    text = F.lower("description")
-    p = F.lower("pattern")
-    hit = F.when(F.col("match_type") == "exact", text == p).when(F.col("match_type") == "contains", F.contains(text, p)).otherwise(F.regexp(F.col("description"), F.concat(F.lit("(?i)"), F.col("pattern"))))
-    keys = ledger.select("description", "doc_type").distinct()
-    guard = F.col("rule_doc").isNull() | F.col("doc_type").isNull() | (F.col("rule_doc") == F.col("doc_type"))
-    r = rules.withColumnRenamed("id", "rule_id").withColumnRenamed("doc_type", "rule_doc")
-    best = F.min(F.struct((-F.col("priority")).alias("p"), "rule_id", "category", "subcategory"))
-    won = keys.join(F.broadcast(r), hit & guard).groupBy("description", "doc_type").agg(best.alias("b"))
-    same = ledger["description"].eqNullSafe(won["description"]) & ledger["doc_type"].eqNullSafe(won["doc_type"])
-    return ledger.join(won, same).select(ledger["id"], F.col("b.rule_id").alias("rule_id"), F.col("b.category").alias("category"), F.col("b.subcategory").alias("subcategory"))
+    """The same for a table of rules. It is written by hand, so it is read to the driver and becomes the same expression; it is refused beyond 100 000 rows."""
+    got = [r.asDict() for r in rules.limit(100_001).collect()]
+    if len(got) > 100_000:
+        raise ValueError("a table of rules has 100 000 rows at most")
+    return apply_rules(ledger, got)
 
 
 def brand_matches(ledger: DataFrame, brands: DataFrame, country: str | None, continents: dict[str, str]) -> DataFrame:
     """id and the best brand rule: same country first, then same continent, universal, other; ties by rule order.
 
     brands: rule_idx, pattern, osm_tag, countries. Without a country the first rule in order wins.
+    Patterns that do not compile are skipped.
     """
     names = ledger.select("description").where("description is not null").distinct()
     near = [c for c, k in continents.items() if country and k == continents.get(country)]
     has = lambda cs: F.exists("countries", lambda x: x.isin(cs)) if cs else F.lit(False)
     score = F.when(has([country] if country else []), 0).when(has(near), 1).when(F.size("countries") == 0, 2).otherwise(3) if country else F.lit(0)
+    known = [r["pattern"] for r in brands.select("pattern").distinct().collect()]
+    if bad := [p for p in known if p is not None and not compiles(p)]:
+        brands = brands.where(~F.col("pattern").isin(bad))
     hits = names.join(F.broadcast(brands), F.regexp(F.col("description"), F.concat(F.lit("(?i)"), F.col("pattern"))))
     best = hits.groupBy("description").agg(F.min(F.struct(score.alias("score"), "rule_idx", "osm_tag", "countries")).alias("b"))
     return ledger.select("id", "description").join(best, "description").select("id", F.col("b.rule_idx").alias("rule_idx"), F.col("b.osm_tag").alias("osm_tag"), F.col("b.score").cast("int").alias("score"), F.col("b.countries").alias("countries"))

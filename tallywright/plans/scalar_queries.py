@@ -74,19 +74,46 @@ on_ledger(
     "sc_tx_type",
     "SELECT id, CASE WHEN contains(lower(description), 'ring') OR contains(lower(description), 'bolt') THEN CASE WHEN amount < 0 THEN 'internal_out' ELSE 'internal_in' END WHEN doc_type = 'credit_card' THEN 'card_tx' WHEN amount > 0 THEN 'income' ELSE 'expense' END AS tx_type FROM ledger",
 )(lambda d: d.select("id", S.transaction_type(F.col("description"), F.col("amount"), F.col("doc_type"), ["Ring", "bolt"]).alias("tx_type")))
-query("sc_strip_nontext", None)(lambda spark, d: table(spark, d, "documents").select("doc_id", S.strip_non_text(F.col("text")).alias("text")))
 query(
-    "sc_redact",
-    r"SELECT doc_id, regexp_replace(coalesce(text, ''), '\b(?:[0-9][ -]?){13,18}[0-9]\b', '<CARD_ID>', 'g') AS text FROM documents",
-)(lambda spark, d: table(spark, d, "documents").select("doc_id", S.redact(F.col("text")).alias("text")))
-query("sc_assert_clean", r"SELECT count(*) AS unclean FROM documents WHERE regexp_matches(coalesce(text, ''), '\b(?:[0-9][ -]?){13,18}[0-9]\b')")(
-    lambda spark, d: table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text")).where(~S.is_clean(F.col("text"))).agg(F.count(F.lit(1)).alias("unclean"))
+    "sc_strip_nontext",
+    r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\p{P}\p{Z}\t ]', '', 'g'), '\s+', ' ', 'g')) AS text FROM documents",
+)(lambda spark, d: table(spark, d, "documents").select("doc_id", S.strip_non_text(F.col("text")).alias("text")))
+ACCOUNT, CARD = S.REDACTIONS[0][0], S.REDACTIONS[1][0]
+
+
+def redaction_sql(text: str) -> str:
+    for pattern, tag, flags in S.REDACTIONS:
+        text = f"regexp_replace({text}, '{pattern}', '{tag}', 'g{flags}')"
+    return text
+
+
+def marked(spark, d):
+    """Whole documents, and line items with an account, a card, a masked card, a bank code or a fiscal code each."""
+    n, k = F.col("l_linenumber"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")
+    cases = [F.concat(F.lit("IT60X054281110"), k, F.lit(" paid")), F.concat(F.lit("card 4111 1111-1111 "), k), F.concat(F.lit("card ****12"), F.substring(k, 5, 2), F.lit(" x")), F.concat(F.lit("Pos "), k, F.lit("-1 shop")), F.concat(F.lit("rssmra"), F.substring(k, 5, 2), F.lit("A01h501u, cau")), F.concat(F.lit("XXXX-99"), F.substring(k, 5, 2), F.lit(" NDS 7"))]
+    text = F.when(n == 1, cases[0])
+    for i, c in enumerate(cases[1:], 2):
+        text = text.when(n == i, c)
+    made = lines(spark, d).select((-(F.col("l_orderkey") * 10 + n)).cast("long").alias("doc_id"), text.otherwise(F.concat(F.lit("ID transazione "), k)).alias("text"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(made)
+
+
+_K = "lpad(CAST(l_partkey AS VARCHAR), 6, '0')"
+MARKED = f"""m AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents UNION ALL SELECT CAST(-(l_orderkey * 10 + l_linenumber) AS BIGINT), CASE l_linenumber WHEN 1 THEN 'IT60X054281110' || {_K} || ' paid' WHEN 2 THEN 'card 4111 1111-1111 ' || {_K}
+ WHEN 3 THEN 'card ****12' || substr({_K}, 5, 2) || ' x' WHEN 4 THEN 'Pos ' || {_K} || '-1 shop' WHEN 5 THEN 'rssmra' || substr({_K}, 5, 2) || 'A01h501u, cau' WHEN 6 THEN 'XXXX-99' || substr({_K}, 5, 2) || ' NDS 7' ELSE 'ID transazione ' || {_K} END FROM lineitem)"""
+query("sc_redact", f"WITH {MARKED} SELECT doc_id, {redaction_sql("coalesce(text, '')")} AS text FROM m")(lambda spark, d: marked(spark, d).select("doc_id", S.redact(F.col("text")).alias("text")))
+query("sc_assert_clean", f"WITH {MARKED} SELECT count(*) AS unclean FROM m WHERE regexp_matches(coalesce(text, ''), '{ACCOUNT}') OR regexp_matches(coalesce(text, ''), '{CARD}')")(
+    lambda spark, d: marked(spark, d).select(F.coalesce("text", F.lit("")).alias("text")).where(~S.is_clean(F.col("text"))).agg(F.count(F.lit(1)).alias("unclean"))
 )
-on_ledger("sc_owner_redact", "SELECT id, replace(replace(description, 'small ring', 'Mario Rossi'), 'ring small', 'Mario Rossi') AS text FROM ledger")(
+on_ledger("sc_owner_redact", f"SELECT id, replace(replace(description, 'small ring', '{S.alias(0)}'), 'ring small', '{S.alias(0)}') AS text FROM ledger")(
     lambda d: d.select("id", S.redact(F.col("description"), owners=["ring small"]).alias("text"))
 )
-on_ledger("sc_restore", "SELECT id, description AS text FROM ledger WHERE description = 'small ring'")(
-    lambda d: d.where("description = 'small ring'").select("id", S.restore_aliases(S.redact(F.col("description"), owners=["small ring"]), ["small ring"]).alias("text"))
+THREE = ["small ring", "big bolt", "blue widget"]
+on_ledger("sc_fake_name", "SELECT id, replace(replace(replace(description, 'small ring', '{}'), 'big bolt', '{}'), 'blue widget', '{}') AS text FROM ledger".format(*(S.alias(i, "es") for i in range(3))))(
+    lambda d: d.select("id", S.redact(F.col("description"), owners=THREE, lang="es").alias("text"))
+)
+on_ledger("sc_restore", f"SELECT id, description AS text FROM ledger WHERE description IN ({', '.join(f"'{x}'" for x in THREE)})")(
+    lambda d: d.where(F.col("description").isin(THREE)).select("id", S.restore_aliases(S.redact(F.col("description"), owners=THREE), THREE).alias("text"))
 )
 TOK = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda w: length(w) > 1))"
 on_ledger(

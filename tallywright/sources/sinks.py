@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import ledger_metrics, query_summary
 from ..operators.changes import insert_absent
 
+# The export's columns, in their order.
 EXPORT = ("id", "date", "amount", "currency", "description", "raw_description", "account_label", "doc_type", "tx_type", "category", "subcategory", "category_confidence", "category_source", "context", "to_review", "source_file")
 
 
@@ -24,11 +25,15 @@ def write_by_context(ledger: DataFrame, path: str) -> None:
 
 
 def html_report(ledger: DataFrame, title: str) -> str:
-    """Totals and a bar a category. Only these small sums reach the driver."""
+    """Totals and a bar for each of the 100 largest categories; one more row sums up the others. Only these small sums reach the driver."""
     m = ledger_metrics(ledger).first()
     rows = query_summary(ledger).orderBy(F.desc(F.abs("total")), "category").limit(100).collect()
+    shown = len(rows)
+    rest = query_summary(ledger).agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total")).first()
     widest = max((abs(r["total"]) for r in rows), default=0) or 1
     bars = "".join(f'<tr><td>{escape(r["category"])}</td><td>{r["total"]}</td><td><div style="width:{float(abs(r["total"]) / widest) * 100:.0f}%">&nbsp;</div></td></tr>' for r in rows)
+    if rest["n"] > shown:
+        bars += f'<tr><td>{rest["n"] - shown} more categories</td><td>{rest["total"] - sum(r["total"] for r in rows)}</td><td></td></tr>'
     return f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><p>{m['n']} rows, net {m['net']}, income {m['income']}, expense {m['expense']}</p><table>{bars}</table></body></html>"
 
 

@@ -56,11 +56,26 @@ def test_identifiers(spark):
 def test_redaction(spark):
     texts = ["IT60X0542811101000000123456 ok", "4111 1111 1111 1111 and 4111-1111-1111-1111", "XXXX XXXX XXXX 1234", "from Rossi  Paolo, PAOLO ROSSI", None, "code ABC-12"]
     got = apply(spark, texts, lambda c: S.redact(c, owners=["Paolo Rossi"], extra=[r"[A-Z]{3}-\d+"]))
-    assert got[1] == "<CARD_ID> and <CARD_ID>" and got[2] == "<CARD_ID>" and got[3] == "from Mario Rossi, Mario Rossi" and got[4] == "" and got[5] == "code <REDACTED>"
+    assert got[1] == "<CARD_ID> and <CARD_ID>" and got[2] == "XXXX XXXX <CARD_ID>" and got[3] == f"from {S.alias(0)}, {S.alias(0)}" and got[4] == "" and got[5] == "code <REDACTED>"
     assert "<ACCOUNT_ID>" in got[0] and "0542811101000000123456" not in got[0]
     assert apply(spark, got[3:4], lambda c: S.restore_aliases(c, ["Paolo Rossi"])) == ["from Paolo Rossi, Paolo Rossi"]
 
 
+def test_redaction_of_each_kind(spark):
+    """Accounts, cards, short masked cards, bank codes and fiscal codes in any case; owners keep apart beyond the pool."""
+    cases = {
+        "card ****1234 CAU 12345 RSSMRA80A01H501U": "card <CARD_ID> <TX_CODE> <FISCAL_ID>", "XXXX-1234": "<CARD_ID>", "4111 1111 1111 1": "<CARD_ID>", "nds 99, Pos12-3": "<TX_CODE>, <TX_CODE>",
+        "ID  transazione 55": "<TX_CODE>", "rssmra80a01h501u": "<FISCAL_ID>", "IT60X0542811101000000123456": "<ACCOUNT_ID>", "IT60": "IT60", "12345": "12345", "": "",
+    }
+    assert apply(spark, list(cases), S.redact) == list(cases.values())
+    owners = ["Anna Verdi", "Bruno Neri", "Carl Blu", "D E", "F", "G H", "Ida Rosa", " "]
+    texts = [f"paid {o} and {' '.join(o.split()[::-1])}" for o in owners[:-1]]
+    for lang in ("it", "en", "de", "fr", "es", "xx"):
+        hidden = apply(spark, texts, lambda c: S.redact(c, owners=owners, lang=lang))
+        assert len(set(hidden)) == len(texts) and not any(o in h for o, h in zip(owners, hidden))
+        assert apply(spark, [h.upper() for h in hidden], lambda c: S.restore_aliases(c, owners, lang)) == [f"PAID {o} AND {o}" for o in owners[:-1]]
+
+
 def test_display(spark):
     assert apply(spark, ["-1234.5", "0"], lambda c: S.display_amount(c.cast(S.MONEY))) == ["-1.234,50 €", "+0,00 €"]
     assert apply(spark, ["12|", "|5", "3|nan", "|"], S.display_raw_amount) == ["12", "5", "3", ""]
