@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import connected_components, saved, with_classes
+from .common import Stored, connected_components, saved, with_classes
 
 #: (offset, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -82,6 +82,16 @@ def _keys(fp: Column) -> Column:
     return F.array(*out)
 
 
+def _first_shared(x: Column) -> Column:
+    """The tag (segment and wildcard) under which a pair with this XOR meets, of all the keys it shares."""
+    tag = None
+    for s, (at, width) in reversed(list(enumerate(SEGMENTS))):
+        part = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        here = F.when(part == 0, F.lit(s * 32)).otherwise(F.lit(s * 32) + F.bit_count(part - 1))
+        tag = here if tag is None else F.when(F.bit_count(part) <= 1, here).otherwise(tag)
+    return tag
+
+
 def _near(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
 
@@ -102,19 +112,25 @@ def fingerprint_classes(nodes: DataFrame) -> DataFrame:
     """(node, root) of the distinct nodes (node, fp), both longs, over links at most MAX_BITS apart; nodes without a link may be missing.
 
     A key's members meet only where its classes differ, and there those of its
-    largest class do not meet each other.
+    largest class do not meet each other; a pair is found under one of its keys only.
     """
     members = bucket_members(nodes)
-    stars = saved(connected_components(star_pairs(members)))
+    stars = Stored(connected_components(star_pairs(members))).df
     now = saved(members.join(stars, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")))
     kinds = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = saved(now.join(kinds.select("key", "most"), "key"))
     left = mixed.where("root <> most").select("key", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
     right = mixed.select("key", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
-    links = connected_components(left.join(right, "key").where((F.col("a") != F.col("b")) & _near("fp_a", "fp_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    moved = links.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    alone = links.join(stars.select("node"), "node", "left_anti")
-    return stars.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
+    once = F.shiftrightunsigned("key", 32) == _first_shared(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+    links = left.join(right, "key").where((F.col("a") != F.col("b")) & _near("fp_a", "fp_b") & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _moved(stars, connected_components(links))
+
+
+def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after classes were joined: links (node, root) over roots, and over nodes that had none."""
+    to = links.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    alone = links.join(roots.select("node"), "node", "left_anti")
+    return Stored(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)).df
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
