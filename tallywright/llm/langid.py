@@ -213,7 +213,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> PpmModel | None:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = usable.where("text is not null").where(draw < share).select("lang", "text").distinct()
+    sample = usable.where("text is not null").where(draw < share).select("lang", "text").distinct().repartition("lang")  # a language's sample is small; counted in one task, each string is one row
     got = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     langs, grams, counts = got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy()
     known = sorted(set(langs))
