@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, toxicity
+from . import decontam, exact_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, spelling, toxicity
 from .common import read
 from .oracles import SQL
 
@@ -53,8 +53,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_toxicity, op3_sharding, op4_pii, op5_mixing, op6_decontamination, op7_secrets, op8_language, op9_licenses, op10_exact_dedup)
+    ops = (op1_simhash, op2_toxicity, op3_sharding, op4_pii, op5_mixing, op6_decontamination, op7_secrets, op8_language, op9_licenses, op10_exact_dedup, op11_spelling)
     return {f.__name__: f for f in ops}
 
 
