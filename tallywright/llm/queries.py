@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, exact_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, spelling, toxicity
+from . import alignment, decontam, exact_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, spelling, suffixes, toxicity
 from .common import read
 from .oracles import SQL
 
@@ -57,12 +57,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_toxicity, op3_sharding, op4_pii, op5_mixing, op6_decontamination, op7_secrets, op8_language, op9_licenses, op10_exact_dedup, op11_spelling, op13_alignment)
+    ops = (op1_simhash, op2_toxicity, op3_sharding, op4_pii, op5_mixing, op6_decontamination, op7_secrets, op8_language, op9_licenses, op10_exact_dedup, op11_spelling, op12_suffixes, op13_alignment)
     return {f.__name__: f for f in ops}
 
 
