@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ FOLDER = "/opt/tokenizers"
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair is frequent if it has more than this share of the links.
 FREQUENT = 1 / (1 << 20)
-#: Bytes of text that are aligned at once; a longer text is a block of its own.
-BLOCK = 1 << 21
+#: Bytes of text that are aligned at once; a longer text is a block of its own. A token takes some 200 bytes meanwhile.
+BLOCK = 1 << 18
 #: Links that are looked up or counted at once.
 LINKS = 1 << 20
 
@@ -123,16 +124,16 @@ def align(a: Tokenizer, b: Tokenizer, texts: list[str | None]) -> tuple[np.ndarr
     return counts, digests, links, bounds
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(sizes):
         if size and size + n > BLOCK:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -148,9 +149,8 @@ def _aligned(folder: str):
         a, b = tokenizers(folder)
         kind = pa.int32() if _pair_kind(folder) == "int" else pa.int64()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for s, e in _blocks(texts):
-                counts, digests, links, bounds = align(a, b, texts[s:e])
+            for s, e in _blocks(batch.column(1)):
+                counts, digests, links, bounds = align(a, b, batch.column(1).slice(s, e - s).to_pylist())
                 cols = [pa.array(counts[:, i], pa.int64()) for i in range(4)]
                 linked = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(links, kind))
                 yield pa.record_batch([batch.column(0).slice(s, e - s), *cols, pa.array(digests, pa.string()), linked], names=["doc_id", *_COUNTS, "groups_sha256", "links"])

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ WINDOW = 100
 GRAM = 28
 SIDE = 36
 #: Bytes that are taken at once; of a longer text so many at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Contexts of an anchor that may share one suffix array, and bytes of a suffix array after which no more anchors are added.
 GROUP = 8192
 TEXT = 1 << 20
