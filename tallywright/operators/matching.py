@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-from itertools import combinations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import Stored, saved
+
 EPS, DAYS = "0.01", 5
 STRICT_EPS, STRICT_DAYS = "0.005", 1
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder; a local one only where the session names none."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywright-"))
-    return df.checkpoint()
-
-
 def transfer_candidates(ledger: DataFrame, words: list[str] = (), eps: str = EPS, days: int = DAYS) -> DataFrame:
     """Pairs (a, b) of rows of different accounts whose amounts cancel within eps and whose dates are near.
 
@@ -49,24 +39,40 @@ def transfer_candidates(ledger: DataFrame, words: list[str] = (), eps: str = EPS
 
 
 def transfer_pairs(ledger: DataFrame, words: list[str] = ()) -> DataFrame:
-    """One-to-one pairs: the greedy pass over pairs in order of (a, b).
+    """One-to-one pairs: the greedy pass over pairs in order of (a, b)."""
+    return greedy_pairs(transfer_candidates(ledger, words), "a_id", "b_id", F.struct("a_date", "a_id", "b_date", "b_id"))
+
+
+def greedy_pairs(pairs: DataFrame, a: str, b: str, order) -> DataFrame:
+    """The pairs that a sequential pass in the given order takes, in which a taken row is in no later pair.
 
-    Each round takes every pair that is the first of both its rows and drops
-    the pairs of taken rows; this gives what the sequential pass gives.
+    A pair is taken if none of the earlier pairs of its two rows is. Where there
+    is one such pair, it is taken if that one is not, so along a run of such
+    pairs every other one is taken, and pointers that double their reach find
+    each pair's place in its run. Pairs with several earlier ones wait until
+    those are settled. Rounds are as many as decisions that branch follow each
+    other, whatever the length of runs.
     """
-    left = _saved(transfer_candidates(ledger, words).withColumn("o", F.struct("a_date", "a_id", "b_date", "b_id")))
+    left = saved(pairs.withColumn("_o", order).withColumn("_e", F.monotonically_increasing_id()))
     taken: list[DataFrame] = []
     while not left.isEmpty():
-        best = left.select(F.col("a_id").alias("n"), "o").union(left.select(F.col("b_id").alias("n"), "o")).groupBy("n").agg(F.min("o").alias("m"))
-        first = lambda c: best.select(F.col("n").alias(c), F.col("m").alias(f"m_{c}"))  # noqa: E731, B023
-        round_ = _saved(left.join(first("a_id"), "a_id").join(first("b_id"), "b_id").where((F.col("o") == F.col("m_a_id")) & (F.col("o") == F.col("m_b_id"))).select(*left.columns))
+        ends = left.select(F.col(a).alias("n"), "_e", "_o").unionByName(left.select(F.col(b).alias("n"), "_e", "_o"))
+        w = Window.partitionBy("n").orderBy("_o")
+        before = ends.select("_e", (F.row_number().over(w) - 1).alias("k"), F.lag("_e").over(w).alias("p"))
+        at = before.groupBy("_e").agg(F.sum("k").alias("k"), F.max("p").alias("p"))
+        # to: the earlier pair it depends on, itself at the start of a run; odd: steps to there; open: whether that start is undecided
+        now = saved(at.select("_e", F.when(F.col("k") == 1, F.col("p")).otherwise(F.col("_e")).alias("to"), (F.col("k") == 1).alias("odd"), (F.col("k") > 1).alias("open"), (F.col("k") == 1).alias("moved")))
+        while not now.where("moved").isEmpty():
+            on = now.select(F.col("_e").alias("to"), F.col("to").alias("far"), F.col("odd").alias("far_odd"), F.col("open").alias("far_open"))
+            now = saved(now.join(on, "to").select("_e", F.col("far").alias("to"), (F.col("odd") != F.col("far_odd")).alias("odd"), F.col("far_open").alias("open"), (F.col("far") != F.col("to")).alias("moved")))
+        round_ = saved(left.join(now.where("not open and not odd").select("_e"), "_e", "left_semi"))
         taken.append(round_)
-        used = round_.select(F.col("a_id").alias("n")).union(round_.select(F.col("b_id").alias("n")))
-        left = _saved(left.join(used.withColumnRenamed("n", "a_id"), "a_id", "left_anti").join(used.withColumnRenamed("n", "b_id"), "b_id", "left_anti").select(*left.columns))
+        used = round_.select(F.col(a).alias("n")).unionByName(round_.select(F.col(b).alias("n")))
+        left = saved(left.join(used.withColumnRenamed("n", a), a, "left_anti").join(used.withColumnRenamed("n", b), b, "left_anti").select(*left.columns))
     out = left
     for t in taken:
         out = out.unionByName(t)
-    return out.drop("o")
+    return out.drop("_o", "_e")
 
 
 def transfer_links(pairs: DataFrame) -> DataFrame:
@@ -90,67 +96,117 @@ def balance_rows(ledger: DataFrame, by: str = "source_file", eps: str = "0.01")
     return hit.groupBy(by).agg(F.min_by("id", F.struct("date", "id")).alias("id"))
 
 
-def settlement_components(settlements: DataFrame, cards: DataFrame, owner: str, before: int = 45, after: int = 7) -> DataFrame:
-    """Settlements and card rows with ``part``: an owner's windows that overlap form one part, others are independent."""
-    w = Window.partitionBy(owner).orderBy("date", "id")
-    spans = settlements.select(owner, "id", "amount", "date", F.date_sub("date", before).alias("lo"), F.date_add("date", after).alias("hi"))
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parted = spans.withColumn("starts", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).withColumn("part", F.sum("starts").over(w))
-    bounds = parted.groupBy(owner, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    near = cards.join(bounds, owner).where(F.col("date").between(F.col("lo"), F.col("hi"))).select(owner, "part", "id", "amount", "date", F.lit(False).alias("settles"))
-    return parted.select(owner, "part", "id", "amount", "date", F.lit(True).alias("settles")).unionByName(near)
+#: Days before and after a settlement in which its card rows lie, days that a run may pause, and rows on either side that subsets are made of.
+BEFORE, AFTER, GAP, EDGE = 45, 7, 5, 10
 
 
-def match_part(settles: list[tuple], cards: list[tuple], eps: Decimal = Decimal("0.01"), before: int = 45, after: int = 7, gap: int = 5, k: int = 10) -> list[tuple]:
-    """Settlements of one part, in order: (settlement, detail ids, delta, method).
+def smallest_subset(amounts: np.ndarray, target: int, eps: int) -> list[int]:
+    """Of the subsets that sum to the target within eps the smallest, of those the first in order of places; none gives [].
 
-    First a run of card rows by date, gaps of at most ``gap`` days, whose sum
-    hits the target; else the smallest subset, in lexicographic order, of the k
-    rows before and the k on or after the settlement. A used row leaves the pool.
+    Meets in the middle: the sums of either half's subsets, the second half's
+    sorted, so that only pairs of halves that hit the target are looked at.
     """
-    out, used = [], set()
-    for sid, amount, day in sorted(settles, key=lambda x: (x[2], x[0])):
-        target = abs(amount)
-        pool = sorted((c for c in cards if c[0] not in used and -before <= (c[2] - day).days <= after), key=lambda c: (c[2], c[0]))
-        found, method = None, None
-        for i in range(len(pool)):
-            total = Decimal(0)
-            for j in range(i, len(pool)):
-                if j > i and (pool[j][2] - pool[j - 1][2]).days > gap:
-                    break
-                total += pool[j][1]
-                if abs(abs(total) - target) <= eps:
-                    found, method = pool[i : j + 1], "run"
-                    break
-                if abs(total) > target + eps:
-                    break
-            if found:
-                break
-        if not found:
-            edge = [c for c in pool if c[2] < day][-k:] + [c for c in pool if c[2] >= day][:k]
-            for n in range(1, len(edge) + 1):
-                found = next((list(c) for c in combinations(edge, n) if abs(abs(sum(x[1] for x in c)) - target) <= eps), None)
-                if found:
-                    method = "subset"
-                    break
-        if found:
-            used |= {c[0] for c in found}
-            out.append((sid, [c[0] for c in found], abs(sum(c[1] for c in found)) - target, method))
+    n = len(amounts)
+    half = n // 2
+
+    def sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # the first place has the highest bit, so of equal sizes the larger number comes first
+        bits = (np.arange(1 << len(part))[:, None] >> np.arange(len(part))[::-1]) & 1
+        return bits @ part if len(part) else np.zeros(1, np.int64), bits.sum(1)
+
+    (a, size_a), (b, size_b) = sums(amounts[:half]), sums(amounts[half:])
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], target - eps - a, "left"), np.searchsorted(b[order], target + eps - a, "right")
+    found = np.maximum(high - low, 0)
+    first = np.repeat(np.arange(len(a)), found)
+    second = order[np.arange(len(first)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)]
+    size = size_a[first] + size_b[second]
+    mask = (first << (n - half)) | second
+    size[mask == 0] = n + 1  # no rows is no subset
+    if not len(size) or size.min() > n:
+        return []
+    best = int(mask[size == size.min()].max())
+    return [i for i in range(n) if best >> (n - 1 - i) & 1]
+
+
+def _run_matches(pool: DataFrame, eps: str) -> DataFrame:
+    """(settlement, start, end): of each settlement's runs that hit its amount the first; places are those in its pool.
+
+    A run is a difference of two prefix sums, so starts with the amount added
+    meet ends by equality, in buckets of eps.
+    """
+    w = Window.partitionBy("settlement").orderBy("date", "id")
+    days = F.datediff("date", F.lag("date").over(w))
+    rows = pool.withColumn("pos", F.row_number().over(w)).withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("break", F.coalesce((days > GAP).cast("int"), F.lit(0)))
+    rows = rows.withColumn("part", F.sum("break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    width = F.lit(eps).cast("decimal(18,4)")
+    starts = rows.select("settlement", "part", F.col("pos").alias("start"), (F.col("upto") - F.col("size") + F.col("target")).alias("goal"))
+    starts = starts.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("goal") / width).cast("long") + i for i in (-1, 0, 1)])))
+    ends = rows.select("settlement", "part", F.col("pos").alias("end"), "upto", F.floor(F.col("upto") / width).cast("long").alias("bucket"))
+    hits = starts.join(ends, ["settlement", "part", "bucket"]).where((F.col("end") >= F.col("start")) & (F.abs(F.col("upto") - F.col("goal")) <= width))
+    best = hits.groupBy("settlement").agg(F.min(F.struct("start", "end")).alias("m")).select("settlement", "m.start", "m.end")
+    return rows.join(best, "settlement").where(F.col("pos").between(F.col("start"), F.col("end"))).select("settlement", "id", "size", "target", F.lit("run").alias("method"))
+
+
+def _subset_matches(pool: DataFrame, eps: str) -> DataFrame:
+    """For settlements without a run: the smallest subset of the EDGE rows before the settlement and the EDGE rows from its day on."""
+    early = F.col("date") < F.col("day")
+    w = Window.partitionBy("settlement", early)
+    last, first = F.row_number().over(w.orderBy(F.desc("date"), F.desc("id"))), F.row_number().over(w.orderBy("date", "id"))
+    edge = pool.withColumn("i", F.when(early, last).otherwise(first)).where(F.col("i") <= EDGE)
+    each = edge.groupBy("settlement", "target").agg(F.array_sort(F.collect_list(F.struct("date", "id", "size"))).alias("rows"))
+    cents = each.select("settlement", "target", "rows", F.transform("rows", lambda x: (x["size"] * 10_000).cast("long")).alias("units"), (F.col("target") * 10_000).cast("long").alias("goal"))
+    unit = int(float(eps) * 10_000 + 0.5)
+
+    @F.pandas_udf("array<int>")
+    def chosen(units: pd.Series, goals: pd.Series) -> pd.Series:
+        return pd.Series([smallest_subset(np.asarray(u, np.int64), int(g), unit) for u, g in zip(units, goals)])
+
+    got = cents.withColumn("at", chosen("units", "goal")).where(F.size("at") > 0)
+    return got.select("settlement", "target", F.explode(F.transform("at", lambda i: F.get("rows", i))).alias("x")).select("settlement", "x.id", "x.size", "target", F.lit("subset").alias("method"))
+
+
+def card_settlements(settlements: DataFrame, cards: DataFrame, owner: str = "account_label", eps: str = EPS) -> DataFrame:
+    """(settlement_id, detail_id, delta, method): the card rows that each settlement pays.
+
+    Settlements go in order of (date, id). Each takes, of its owner's card rows
+    in its window that no earlier one has taken, the first run by date whose
+    absolute amounts sum to its own, else the smallest subset of the rows next
+    to it. delta is the settlement's amount less the sum.
+
+    All settlements are matched at once, as if nobody took anything; then those
+    again that see another claim of an earlier one, until no claim changes. As
+    claims depend on earlier settlements only, what stays is what the sequential
+    pass gives. A settlement's window is the largest group, and only windows
+    that overlap changed ones are matched again.
+    """
+    due = saved(settlements.select(F.col(owner).alias("owner"), F.col("id").alias("settlement"), F.abs("amount").alias("target"), F.col("date").alias("day")))
+    spent = cards.select(F.col(owner).alias("owner"), "id", "date", F.abs("amount").alias("size"))
+    windows = Stored(due.join(spent, "owner").where(F.col("date").between(F.date_sub("day", BEFORE), F.date_add("day", AFTER))))
+    claims = saved(windows.df.limit(0).select("settlement", "id", "size", "target", F.lit("").alias("method")))
+    again = due.select("settlement")
+    order = {c: F.struct(F.col(f"{c}.day"), F.col(f"{c}.settlement")) for c in "sc"}
+    while not again.isEmpty():
+        at = claims.select("settlement", "id").join(due.select("settlement", "day"), "settlement")
+        mine = windows.df.join(again, "settlement", "left_semi")
+        lost = mine.alias("s").join(at.alias("c"), F.col("s.id") == F.col("c.id")).where(order["c"] < order["s"]).select("s.settlement", "s.id").distinct()
+        pool = saved(mine.join(lost, ["settlement", "id"], "left_anti"))
+        runs = saved(_run_matches(pool, eps))
+        found = runs.unionByName(_subset_matches(pool.join(runs.select("settlement").distinct(), "settlement", "left_anti"), eps))
+        old = claims.join(again, "settlement", "left_semi")
+        new = saved(found)
+        keys = ["settlement", "id"]
+        moved = saved(new.select(*keys).exceptAll(old.select(*keys)).unionByName(old.select(*keys).exceptAll(new.select(*keys))).select("id", "settlement").distinct())
+        claims = saved(claims.join(again, "settlement", "left_anti").unionByName(new))
+        # who sees a changed claim of an earlier settlement
+        changed = moved.join(due.select("settlement", "day"), "settlement")
+        again = saved(windows.df.alias("s").join(changed.alias("c"), F.col("s.id") == F.col("c.id")).where(order["c"] < order["s"]).select("s.settlement").distinct())
+    total = Window.partitionBy("settlement")
+    out = saved(claims.select(F.col("settlement").alias("settlement_id"), F.col("id").alias("detail_id"), (F.col("target") - F.sum("size").over(total)).cast("decimal(18,4)").alias("delta"), "method"))
+    windows.remove()
     return out
 
 
-def card_settlements(settlements: DataFrame, cards: DataFrame, owner: str = "account_label") -> DataFrame:
-    """(settlement_id, detail_id, delta, method). Claims within one owner's overlapping windows are
-    sequential, so these are a group, as large as one owner's card rows of that time; owners are independent."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda s: [(r.id, r.amount, r.date) for r in pdf[pdf.settles == s].itertuples()]
-        got = [(s, d, delta, m) for s, ids, delta, m in match_part(rows(True), rows(False)) for d in ids]
-        return pd.DataFrame(got, columns=["settlement_id", "detail_id", "delta", "method"])
-
-    return settlement_components(settlements, cards, owner).groupBy(owner, "part").applyInPandas(run, "settlement_id string, detail_id string, delta decimal(18,4), method string")
-
-
 def cross_account_duplicates(ledger: DataFrame) -> DataFrame:
     """All rows whose (date, raw description, amount) stands in more than one account; null accounts don't count."""
     keys = ["date", "raw_description", "amount"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import filters, history, matching, rules
-from .register import on_events, on_ledger
+from ..sources.adapters import EVENTS_SQL, ledger_events
+from .register import on_events, on_ledger, query
 
 # ---- history
 VALID = "human_validated IS TRUE AND category IS NOT NULL AND description IS NOT NULL"
@@ -131,8 +132,14 @@ CANDIDATES = """, p AS (SELECT a.id AS a_id, b.id AS b_id, a.date AS a_date, b.d
  FROM ledger a JOIN ledger b ON a.account_label <> b.account_label AND abs(a.amount + b.amount) <= 0.01 AND abs(a.date - b.date) <= 5 AND (a.date < b.date OR (a.date = b.date AND a.id < b.id)))
  SELECT * FROM p WHERE confidence IS NOT NULL"""
 on_events("jn_transfer_candidates", CANDIDATES)(lambda d: matching.transfer_candidates(d, WORDS))
-on_events("jn_transfer_pairs")(lambda d: matching.transfer_pairs(d, WORDS))
-on_events("jn_transfer_links")(lambda d: matching.transfer_links(matching.transfer_pairs(d, WORDS)))
+# the sequential pass: one step a candidate, with the list of taken rows
+PAIRS = f"""WITH RECURSIVE {EVENTS_SQL}{CANDIDATES.removesuffix(" SELECT * FROM p WHERE confidence IS NOT NULL")}, n AS (SELECT *, CAST(a_id AS BIGINT) AS a, CAST(b_id AS BIGINT) AS b, row_number() OVER (ORDER BY a_date, a_id, b_date, b_id) AS i FROM p WHERE confidence IS NOT NULL),
+ g(i, used, hit) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false UNION ALL SELECT n.i, CASE WHEN list_contains(used, n.a) OR list_contains(used, n.b) THEN used ELSE list_concat(used, [n.a, n.b]) END, NOT (list_contains(used, n.a) OR list_contains(used, n.b)) FROM g JOIN n ON n.i = g.i + 1),
+ m AS (SELECT n.* FROM g JOIN n ON g.i = n.i WHERE hit)"""
+query("jn_transfer_pairs", f"{PAIRS} SELECT a_id, b_id, a_date, b_date, a_amount, b_amount, confidence FROM m")(lambda spark, d: matching.transfer_pairs(ledger_events(spark, d), WORDS))
+query("jn_transfer_links", f"{PAIRS} SELECT CASE WHEN a_amount <= b_amount THEN a_id ELSE b_id END AS out_id, CASE WHEN a_amount <= b_amount THEN b_id ELSE a_id END AS in_id, confidence FROM m")(
+    lambda spark, d: matching.transfer_links(matching.transfer_pairs(ledger_events(spark, d), WORDS))
+)
 on_ledger("jn_transfer_owner", "SELECT id, CASE WHEN amount < 0 THEN 'internal_out' ELSE 'internal_in' END AS tx_type FROM ledger WHERE (contains(description, 'small ring') OR contains(description, 'ring small')) AND coalesce(tx_type, '') <> 'card_settlement'")(
     lambda d: matching.owner_transfers(d, S.owner_pattern(["ring small"]), d.where("tx_type = 'card_settlement'").select("id"))
 )

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
-from ..operators import history, ingest, rules
+from ..operators import history, ingest, rules, schemas
 from ..operators.aggregates import month, money
 from ..operators.filters import rule_matches
 from ..sources import sinks
 from ..sources import statements as St
 from ..sources.adapters import LEDGER_SQL, ledger_lineitem, table
-from ..streaming.monitor import shared_folder
+from ..stored import new_folder
 from .ingest_queries import on_cells
 from .matching_queries import OSM, RULES
 from .register import on_events, on_ledger, query
@@ -27,7 +27,7 @@ query("src_file_hash", "SELECT CAST(doc_id AS VARCHAR) AS source_file, sha256(te
 
 
 def csv_and_back(spark, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "export")
+    path = new_folder(spark, "export")
     sinks.write_csv(ledger_lineitem(spark, sf_dir), path)
     kinds = ", ".join(f"{c} {'decimal(18,4)' if c == 'amount' else 'string'}" for c in sinks.EXPORT)
     return spark.read.schema(kinds).option("header", True).csv(path).groupBy("account_label").agg(F.count(F.lit(1)).alias("n"), money(F.sum("amount")).alias("total"))
@@ -37,7 +37,7 @@ query("snk_csv", f"WITH {LEDGER_SQL} SELECT account_label, count(*) AS n, CAST(s
 
 
 def by_context(spark, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "contexts")
+    path = new_folder(spark, "contexts")
     sinks.write_by_context(ledger_lineitem(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
 
@@ -51,11 +51,7 @@ on_cells("inf_roles", "SELECT source_file, 0 AS date, 1 AS description, 2 AS amo
 
 def inferred(rows: DataFrame) -> DataFrame:
     """One schema a file, decided from its few column profiles."""
-    by_file: dict[str, list[dict]] = {}
-    for r in ingest.column_profiles(St.body(rows)).orderBy("source_file", "col").toLocalIterator():
-        by_file.setdefault(r["source_file"], []).append(r.asDict())
-    found = [(f, ingest.infer_schema(p, ["Date", "Description", "Amount", "Currency"])) for f, p in by_file.items()]
-    return rows.sparkSession.createDataFrame([(f, s.date, s.description, s.amount, ingest.usable(s)) for f, s in found], "source_file string, date int, description int, amount int, usable boolean")
+    return schemas.inferred_schemas(St.body(rows), schemas.file_headers(rows)).select("source_file", "date", "description", "amount", "usable")
 
 
 query("inf_score", "SELECT 0.8::DOUBLE AS score, 'high' AS grade")(lambda spark, _: spark.createDataFrame([ingest.confidence_score(True, True, True, True, True, False, False)], "score double, grade string"))

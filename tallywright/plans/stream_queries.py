@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..sources.adapters import EVENTS_SQL, ledger_events, table
 from ..streaming import monitor as M
+from ..stored import new_folder
 from .register import query
 
 
 def poll_monitor(spark, sf_dir: str) -> DataFrame:
     """Every row arrives twice; each counts once."""
-    base = M.shared_folder(spark, "monitor")
+    base = new_folder(spark, "monitor")
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").cast("decimal(18,4)").alias("value"), (F.col("event_id") * 7 % 1000).alias("place"))
     M.split_files(e.unionByName(e.withColumn("place", F.col("place") * 3 % 1000)), f"{base}/in", 4, "place")
     counts = M.progress_counts(M.arriving(spark, f"{base}/in", e.schema), ["event_id"], ["event_type"])
@@ -20,7 +21,7 @@ def poll_monitor(spark, sf_dir: str) -> DataFrame:
 
 
 def daily(spark, sf_dir: str) -> DataFrame:
-    base = M.shared_folder(spark, "daily")
+    base = new_folder(spark, "daily")
     rows = ledger_events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "account_label", "amount")
     M.split_files(rows, f"{base}/in", 4, "ts")
     out = M.run_once(M.daily_spending(M.arriving(spark, f"{base}/in", rows.schema)), base)

@@ -6,22 +6,11 @@ by event time, with a watermark, goes beyond it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors and the driver can read and write."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywright-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """Rows of parquet files as they come."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
