@@ -93,3 +93,21 @@ def test_query_on_a_whole_table(spark):
 
 def test_empty(empty):
     assert alignment.alignments(empty).collect() == []
+
+
+def test_encoders_agree_with_the_files_own_library(spark):
+    """Ids by ranks are those of the file's library, on texts of every kind, and where the first gives up."""
+    a, _ = alignment.tokenizers(alignment.FOLDER)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [t or "" for _, t, *_ in TRICKY + ODD]
+    texts += ["a" * 50_000, " " * 3000 + "x" + "\n" * 3000, "don't we'll I'M 12345 ²½ Ⅷ  x", "ไทย हिन्दी 한국어 🇩🇪 ȩ́ ‍"]
+    assert a.encode(texts) == [a.slow().encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+    class Gives:
+        def encode_ordinary(self, text):
+            raise ValueError("stack")
+
+    kept, a.file = a.file, Gives()
+    try:
+        assert a.encode(["some text"]) == [kept.encode_ordinary(" some text")]
+    finally:
+        a.file = kept
