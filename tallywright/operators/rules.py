@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stored import saved
+from . import rule_index
 from .filters import rule_matches
-
-
-def compiles(pattern: str) -> bool:
-    """Whether the regular expressions of the engine can read the pattern; rules that they cannot are skipped."""
-    try:
-        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
-    except IllegalArgumentException:
-        return False
+from .rule_index import compiles
 
 
 def inline_rules(rules: list[dict]) -> Column:
@@ -43,29 +36,35 @@ def apply_rules(ledger: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def join_rules(ledger: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for a table of rules. It is written by hand, so it is read to the driver and becomes the same expression; it is refused beyond 100 000 rows."""
-    got = [r.asDict() for r in rules.limit(100_001).collect()]
-    if len(got) > 100_000:
-        raise ValueError("a table of rules has 100 000 rows at most")
-    return apply_rules(ledger, got)
+    """The same for a table of rules, of any number, by an index of what descriptions must hold.
+
+    A regex that does not compile is skipped; an unknown match type is refused.
+    """
+    known = F.when(F.col("match_type").isin("exact", "contains", "regex"), F.col("match_type")).otherwise(F.raise_error(F.concat(F.lit("unknown match type: "), F.coalesce("match_type", F.lit("null")))).cast("string"))
+    table = rules.select("pattern", known.alias("kind"), F.struct((-F.col("priority")).alias("o"), "id", "category", "subcategory").alias("rule"), F.nullif(F.col("doc_type"), F.lit("")).alias("only"))
+    texts = saved(ledger.select(F.col("description").alias("text"), "doc_type").where("text is not null").distinct())
+    found = rule_index.matches(texts.select("text").distinct(), table)
+    fits = F.coalesce(F.col("doc_type") == F.col("only"), F.lit(True))
+    best = texts.join(found, "text").where(fits).groupBy("text", "doc_type").agg(F.min("rule").alias("r"))
+    same = (F.col("l.description") == F.col("b.text")) & F.col("l.doc_type").eqNullSafe(F.col("b.doc_type"))
+    return ledger.alias("l").join(best.alias("b"), same).select("l.id", F.col("b.r.id").alias("rule_id"), "b.r.category", "b.r.subcategory")
 
 
 def brand_matches(ledger: DataFrame, brands: DataFrame, country: str | None, continents: dict[str, str]) -> DataFrame:
     """id and the best brand rule: same country first, then same continent, universal, other; ties by rule order.
 
-    brands: rule_idx, pattern, osm_tag, countries. Without a country the first rule in order wins.
-    Patterns that do not compile are skipped.
+    brands: rule_idx, pattern, osm_tag, countries, any number, by the index of
+    ``rule_index``. Without a country the first rule in order wins. Patterns
+    that do not compile are skipped.
     """
-    names = ledger.select("description").where("description is not null").distinct()
+    names = saved(ledger.select(F.col("description").alias("text")).where("text is not null").distinct())
     near = [c for c, k in continents.items() if country and k == continents.get(country)]
     has = lambda cs: F.exists("countries", lambda x: x.isin(cs)) if cs else F.lit(False)
     score = F.when(has([country] if country else []), 0).when(has(near), 1).when(F.size("countries") == 0, 2).otherwise(3) if country else F.lit(0)
-    known = [r["pattern"] for r in brands.select("pattern").distinct().collect()]
-    if bad := [p for p in known if p is not None and not compiles(p)]:
-        brands = brands.where(~F.col("pattern").isin(bad))
-    hits = names.join(F.broadcast(brands), F.regexp(F.col("description"), F.concat(F.lit("(?i)"), F.col("pattern"))))
-    best = hits.groupBy("description").agg(F.min(F.struct(score.alias("score"), "rule_idx", "osm_tag", "countries")).alias("b"))
-    return ledger.select("id", "description").join(best, "description").select("id", F.col("b.rule_idx").alias("rule_idx"), F.col("b.osm_tag").alias("osm_tag"), F.col("b.score").cast("int").alias("score"), F.col("b.countries").alias("countries"))
+    table = brands.where("pattern is not null").select("pattern", F.lit("regex").alias("kind"), "rule_idx", "osm_tag", "countries")
+    hits = rule_index.matches(names, table)
+    best = hits.groupBy("text").agg(F.min(F.struct(score.alias("score"), "rule_idx", "osm_tag", "countries")).alias("b"))
+    return ledger.select("id", F.col("description").alias("text")).join(best, "text").select("id", F.col("b.rule_idx").alias("rule_idx"), F.col("b.osm_tag").alias("osm_tag"), F.col("b.score").cast("int").alias("score"), F.col("b.countries").alias("countries"))
 
 
 def brand_categories(matches: DataFrame, osm_map: DataFrame, country: str) -> DataFrame:
