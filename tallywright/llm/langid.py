@@ -21,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of
 
-#: About so many documents of each language train its model, chosen by a hash of the row.
-MAX_DOCS = 300
+#: At most so many documents and bytes of each language train its model, those with the smallest hash of id and text; longer texts than an eighth of the bytes are left out.
+MAX_DOCS, MAX_BYTES = 300, 8 << 20
 ORDER = 3
 #: Languages whose costs are looked up together.
 BLOCK = 8
@@ -202,18 +202,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> PpmModel | None:
     """A model of the rows outside fold 1 with a language and a text.
 
-    Rows whose hash falls under max_docs / (rows of the language) are taken,
-    about ``max_docs`` a language, repeated texts once. Spark counts their
-    four-byte strings; the counts alone reach the driver.
+    At most ``max_docs`` a language are taken, of MAX_BYTES together, repeated
+    texts once: a hash of id and text takes about twice as many, of which those
+    with the smallest hash stay. Spark counts their four-byte strings; the counts
+    alone reach the driver.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null")
     usable = usable.where(fold_of(F.col("doc_id")) != 1)
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = usable.where("text is not null").where(draw < share).select("lang", "text").distinct().repartition("lang")  # a language's sample is small; counted in one task, each string is one row
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * max_docs / n))])[F.col("lang")]
+    draw = F.xxhash64("doc_id", "text")
+    drawn = usable.where(F.octet_length("text") <= MAX_BYTES // 8).withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 20)) < share * F.lit(1 << 20))
+    each = drawn.groupBy("lang", "text").agg(F.min("draw").alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw", "text")  # some 600 short texts a language
+    upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sample = each.withColumn("i", F.row_number().over(order)).withColumn("upto", upto).where((F.col("i") <= max_docs) & (F.col("upto") <= MAX_BYTES)).select("lang", "text")
+    sample = sample.repartition("lang")  # counted in one task a language, each string is one row
     got = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     langs, grams, counts = got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy()
     known = sorted(set(langs))

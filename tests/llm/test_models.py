@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallywright.llm import decontam, langid, queries, toxicity
 
@@ -161,6 +162,19 @@ def test_spark_counts_what_the_texts_hold(make):
     assert got.langs == want.langs and all((a == b).all() for x, y in ((got.grams, want.grams), (got.counts, want.counts)) for a, b in zip(x, y))
 
 
+def test_language_sample_is_bounded_without_ids(spark):
+    """Many rows share no id or one id: the sample stays within its rows."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.md5(F.col("id").cast("string").cast("binary"))).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    taken = []
+    real = langid.PpmModel
+    try:
+        langid.PpmModel = lambda langs, grams, counts: taken.append(counts)
+        langid.learn(rows)
+    finally:
+        langid.PpmModel = real
+    assert all(0 < c.sum() <= langid.MAX_DOCS * 40 for c in taken[0]) and len(taken[0]) == 2
+
+
 def test_language_of_tricky_rows(make, tricky, empty):
     out = {}
     for r in langid.languages(tricky).collect():
