@@ -207,6 +207,23 @@ def card_settlements(settlements: DataFrame, cards: DataFrame, owner: str = "acc
     return out
 
 
+def reverse_matches(names: DataFrame, texts: DataFrame, batch: str = "batch") -> DataFrame:
+    """(batch, i, j, score): names (batch, j, text) given to texts (batch, i, text), each once, best containment first.
+
+    A score is the share of the name's words that the text holds; pairs without
+    a common word are none. They are found by a join on words, and of equal
+    scores the later text, then the later name, goes first.
+    """
+    from ..functions.scalars import tokens
+
+    told = names.select(F.col(batch).alias("batch"), "j", tokens(F.col("text")).alias("w")).select("batch", "j", F.size("w").alias("n"), F.explode("w").alias("word"))
+    held = texts.select(F.col(batch).alias("batch"), "i", F.explode(tokens(F.col("text"))).alias("word"))
+    scored = told.join(held, ["batch", "word"]).groupBy("batch", "i", "j").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
+    ends = scored.withColumn("a", F.to_json(F.struct(F.lit("i").alias("side"), "batch", "i"))).withColumn("b", F.to_json(F.struct(F.lit("j").alias("side"), "batch", "j")))
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "batch")
+    return greedy_pairs(ends, "a", "b", order).select("batch", "i", "j", "score")
+
+
 def cross_account_duplicates(ledger: DataFrame) -> DataFrame:
     """All rows whose (date, raw description, amount) stands in more than one account; null accounts don't count."""
     keys = ["date", "raw_description", "amount"]
