@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -191,3 +191,38 @@ def refreshed_cache(cache: DataFrame, headers: DataFrame, chosen: DataFrame) ->
     kept = cache.select("key", *FIELDS).join(stale.unionByName(new.select("key")).distinct(), "key", "left_anti")
     return kept.unionByName(new)
 
+
+
+def sampled_rows(body: DataFrame, n: int = 20) -> DataFrame:
+    """(source_file, row_idx, score) of at most ``n`` rows of each file that show its rare columns and both signs.
+
+    A row's score is the sum, over its filled cells, of one over the share of
+    the column that is filled. Where a file has one amount column with both
+    signs, half of the rows come from either, and what is missing from the best
+    of all others; else the best rows. Equal scores go by the row's place.
+    """
+    per = Window.partitionBy("source_file")
+    long = body.select("source_file", "row_idx", F.posexplode("cells").alias("col", "v"))
+    filled = long.groupBy("source_file", "col").agg(F.count("v").alias("filled")).where("filled > 0")
+    weights = filled.join(body.groupBy("source_file").agg(F.count(F.lit(1)).alias("all")), "source_file").select("source_file", "col", (F.col("all") / F.col("filled")).alias("weight"))
+    lone = column_profiles(body).where("kind = 'amount'").groupBy("source_file").agg(F.min("col").alias("amount"), F.count(F.lit(1)).alias("c")).where("c = 1").select("source_file", "amount")
+    scored = long.where("v is not null").join(weights, ["source_file", "col"]).groupBy("source_file", "row_idx").agg(F.sum("weight").alias("score"))
+    rows = body.select("source_file", "row_idx", "cells").join(scored, ["source_file", "row_idx"], "left").join(lone, "source_file", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    rows = rows.withColumn("sign", F.signum(S.parse_amount(F.get("cells", "amount")))).drop("cells", "amount")
+    best = [F.desc("score"), F.col("row_idx")]
+    sides = rows.withColumn("of_sign", F.row_number().over(Window.partitionBy("source_file", "sign").orderBy(*best))).withColumn("most", F.least(F.count(F.lit(1)).over(per), F.lit(n)))
+    both = (F.max(F.col("sign") > 0).over(per) & F.max(F.col("sign") < 0).over(per))
+    half = F.floor(F.col("most") / 2)
+    picked = sides.withColumn("picked", F.coalesce(both & F.col("sign").isin(1.0, -1.0) & (F.col("of_sign") <= half), F.lit(False)))
+    left = F.row_number().over(Window.partitionBy("source_file", "picked").orderBy(*best))
+    room = F.col("most") - F.sum(F.col("picked").cast("int")).over(per)
+    return picked.withColumn("left", left).withColumn("room", room).where(F.col("picked") | (F.col("left") <= F.col("room"))).select("source_file", "row_idx", F.round("score", 6).alias("score"))
+
+
+def confidence(found: DataFrame) -> DataFrame:
+    """found (source_file, header, date, amount, description, sign, doc_type, label, booleans) with score and grade: the weighted sum of what was found."""
+    # Weights of what was found, and bounds of the grades.
+    weights = {"header": "0.15", "date": "0.15", "amount": "0.25", "description": "0.10", "sign": "0.15", "doc_type": "0.10", "label": "0.10"}
+    score = reduce(lambda a, b: a + b, [F.when(F.col(c), F.lit(w).cast("decimal(4,2)")).otherwise(F.lit("0.00").cast("decimal(4,2)")) for c, w in weights.items()])
+    grade = F.when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
+    return found.withColumn("score", score.cast("double")).withColumn("grade", grade)

@@ -154,10 +154,14 @@ on_ledger(
     "dml_rename_links",
     f", {LINKS}, m AS (SELECT id AS old_id, CASE WHEN account_label = 'BUILDING' THEN {RENAMED} ELSE id END AS id FROM ledger WHERE batch_id = 3) SELECT a.id AS out_id, b.id AS in_id FROM links JOIN m a ON out_id = a.old_id LEFT JOIN m b ON in_id = b.old_id",
 )(lambda d: C.relink(links(d), C.rename_account(d, "BUILDING", "WORKS"), ("out_id", "in_id")))
-query("dml_settings", "SELECT * FROM (VALUES ('a', '1'), ('b', 'x'), ('c', '3')) v(key, value)")(
-    lambda spark, _: C.overlay(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), spark.createDataFrame([("b", "x"), ("c", "3")], "key string, value string"))
+query("dml_settings", "SELECT c_name AS key, CASE WHEN c_acctbal < 0 OR c_custkey % 5 = 0 THEN 'new ' || c_mktsegment ELSE c_mktsegment END AS value FROM customer WHERE c_custkey % 3 <> 0 OR c_acctbal < 0 OR c_custkey % 5 = 0")(
+    lambda spark, d: (lambda c: C.overlay(
+        c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value")),
+        c.where("c_acctbal < 0 or c_custkey % 5 = 0").select(F.col("c_name").alias("key"), F.concat(F.lit("new "), "c_mktsegment").alias("value")),
+    ))(table(spark, d, "customer"))
 )
 
+
 def integrity(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     price = F.when((F.col("o_orderkey") % 10 == 2) & (F.col("o_totalprice") > 1000), F.lit(1.0)).otherwise(F.col("o_totalprice"))

@@ -41,12 +41,15 @@ def tally(rows: DataFrame) -> DataFrame:
 
 query("src_delimiter", f"WITH {RENDERED} SELECT DISTINCT source_file, ';' AS delimiter FROM num")(lambda spark, d: St.delimiters(rendered(spark, d)))
 on_cells("src_header_row", "SELECT DISTINCT source_file, 2 AS header_idx, true AS certain FROM num")(St.header_rows)
-query("src_header_hash", None)(lambda spark, d: St.header_hash(rendered(spark, d)))
+# the first lines as they are written: two lines, the header, rows with European amounts
+HEAD = """h AS (SELECT source_file, row_idx, strftime(date, '%d/%m/%Y') || ';' || description || ';' || translate(format('{:,.2f}', CAST(amount AS DOUBLE)), ',.', '.,') || ';EUR' AS line FROM num WHERE row_idx < 30
+ UNION ALL SELECT DISTINCT source_file, unnest([0, 1, 2]), unnest(['Account statement;;;', 'Holder: TEST USER;;;', 'Date;Description;Amount;Currency']) FROM num)"""
+query("src_header_hash", f"WITH {RENDERED}, {HEAD} SELECT source_file, sha256(string_agg(line, chr(10) ORDER BY row_idx)) AS header_sha256 FROM h GROUP BY 1")(lambda spark, d: St.header_hash(rendered(spark, d)))
 on_cells("src_cols_hash", "SELECT DISTINCT source_file, 'cols:' || substr(sha256('Amount|Currency|Date|Description'), 1, 16) AS key FROM num")(
     lambda rows: rows.where("row_idx = 2").select("source_file", St.columns_key(F.col("cells")).alias("key"))
 )
-on_cells("src_head", "SELECT source_file, row_idx, NULL AS x FROM num WHERE row_idx < 5 UNION ALL SELECT DISTINCT source_file, unnest([0, 1, 2]), NULL FROM num")(
-    lambda rows: rows.where("row_idx < 5").select("source_file", "row_idx", F.lit(None).cast("int").alias("x"))
+on_cells("src_head", f"{', ' + HEAD} SELECT source_file, row_idx, string_split(line, ';')[1] AS a, nullif(string_split(line, ';')[2], '') AS b, nullif(string_split(line, ';')[3], '') AS c, nullif(string_split(line, ';')[4], '') AS d FROM h WHERE row_idx < 5")(
+    lambda rows: rows.where("row_idx < 5").select("source_file", "row_idx", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
 )
 on_cells("cln_trailing_sparse", f"SELECT source_file, last + 1 AS n, 0 AS first, last FROM ({PER})")(lambda rows: tally(St.trim_sparse_tail(rows)))
 on_cells("cln_border_reconcile", f"SELECT source_file, last + 1 AS n, 0 AS first, last FROM ({PER})")(lambda rows: tally(St.trim_sparse_tail(rows, F.lit(4))))
@@ -77,7 +80,6 @@ on_cells(
 on_cells("inf_neutral_sign", "SELECT source_file, CASE WHEN count(CASE WHEN amount < 0 THEN 1 END) * 2 > count(CASE WHEN amount <> 0 THEN 1 END) THEN false END AS invert FROM num GROUP BY 1")(
     lambda rows: ingest.column_profiles(St.body(rows)).where("col = 2").select("source_file", F.when(F.col("negatives") * 2 > F.col("nonzero"), F.lit(False)).alias("invert"))
 )
-on_cells("inf_sample")(lambda rows: ingest.rare_rows(St.body(rows)))
 SCHEMA = ingest.StatementSchema(date=0, description=1, amount=2)
 
 

@@ -14,7 +14,7 @@ from ..sources import statements as St
 from ..sources.adapters import LEDGER_SQL, ledger_lineitem, table
 from ..stored import new_folder
 from .ingest_queries import on_cells
-from .matching_queries import OSM, RULES
+from .matching_queries import RULES
 from .register import on_events, on_ledger, query
 
 
@@ -54,9 +54,6 @@ def inferred(rows: DataFrame) -> DataFrame:
     return schemas.inferred_schemas(St.body(rows), schemas.file_headers(rows)).select("source_file", "date", "description", "amount", "usable")
 
 
-query("inf_score", "SELECT 0.8::DOUBLE AS score, 'high' AS grade")(lambda spark, _: spark.createDataFrame([ingest.confidence_score(True, True, True, True, True, False, False)], "score double, grade string"))
-
-
 def positions(d: DataFrame, order: list) -> DataFrame:
     """Rows numbered within their file, so that two tables join by place."""
     return d.withColumn("i", F.row_number().over(Window.partitionBy("source_file").orderBy(*order)))
@@ -75,13 +72,17 @@ on_ledger("jn_raw_counts", "SELECT o_orderpriority AS context, n FROM (SELECT DI
 on_ledger("jn_cat_writeback", "SELECT id, CASE WHEN description = 'small ring' THEN 'Found' ELSE category END AS category FROM ledger")(
     lambda d: d.join(d.where("description = 'small ring'").select("id", F.lit("Found").alias("found")).dropDuplicates(["id"]), "id", "left").select("id", F.coalesce("found", "category").alias("category"))
 )
-on_ledger("jn_osm_static", "SELECT * FROM (VALUES ('shop=ring', 'Jewels', 'Rings'), ('shop=nuts', 'Food', 'Nuts')) v(osm_tag, category, subcategory)")(lambda d: static_map(d.sparkSession))
+query(
+    "jn_osm_static",
+    "WITH v AS (SELECT DISTINCT p_type AS category, p_brand AS subcategory FROM part WHERE p_brand <> 'Brand#11') SELECT 'part=' || CAST(p_partkey AS VARCHAR) AS osm_tag, p_type AS category, p_brand AS subcategory FROM part JOIN v ON p_type = category AND p_brand = subcategory WHERE p_size % 3 <> 0",
+)(lambda spark, d: static_map(table(spark, d, "part")))
 
 
-def static_map(spark) -> DataFrame:
-    """Hints 'category > subcategory' whose pair the taxonomy has."""
-    hints = spark.createDataFrame([(t, f"{c} > {s}") for t, c, s in OSM], "osm_tag string, hint string")
-    valid = spark.createDataFrame([("Jewels", "Rings"), ("Food", "Nuts")], "category string, subcategory string")
+def static_map(parts: DataFrame) -> DataFrame:
+    """Each part is a tag whose hint reads 'category > subcategory', a third of them without the second; hints whose pair the taxonomy has."""
+    hint = F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.concat("p_type", F.lit(" > "), "p_brand"))
+    hints = parts.select(F.concat(F.lit("part="), F.col("p_partkey").cast("string")).alias("osm_tag"), hint.alias("hint"))
+    valid = parts.where("p_brand <> 'Brand#11'").select(F.col("p_type").alias("category"), F.col("p_brand").alias("subcategory")).distinct()
     part = F.split("hint", " > ", 2)
     return hints.select("osm_tag", part[0].alias("category"), F.get(part, F.lit(1)).alias("subcategory")).join(valid, ["category", "subcategory"], "left_semi").select("osm_tag", "category", "subcategory")
 
@@ -105,8 +106,8 @@ on_ledger("win_first_per_group", "SELECT date, raw_description, id FROM ledger W
 on_events("win_contiguous", "SELECT account_label, count(*) AS n FROM (SELECT account_label, min(CAST(event_type <> 'error' AS INTEGER)) OVER (PARTITION BY account_label ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM ledger) WHERE run = 1 GROUP BY 1")(
     lambda d: d.withColumn("run", F.min(F.col("event_type") != "error").over(Window.partitionBy("account_label").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))).where("run").groupBy("account_label").agg(F.count(F.lit(1)).alias("n"))
 )
-query("srt_rules", "SELECT * FROM (VALUES (2, 1), (1, 2), (3, 3), (4, 4)) v(id, rank)")(
-    lambda spark, _: spark.createDataFrame([(r["id"], r["priority"]) for r in RULES], "id int, priority int").select("id", F.row_number().over(Window.orderBy(F.desc("priority"), "id")).alias("rank"))
+query("srt_rules", "SELECT p_brand AS doc_type, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rank FROM part")(
+    lambda spark, d: table(spark, d, "part").select(F.col("p_brand").alias("doc_type"), F.col("p_partkey").alias("id"), F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("rank"))
 )
 on_ledger("flt_by_rule_pattern", "SELECT id FROM ledger WHERE regexp_matches(description, '(?i)ring$')")(lambda d: d.where(rule_matches("ring$", "regex")).select("id"))
 on_ledger("flt_tree", "SELECT id FROM ledger WHERE category IN ('ECONOMY') AND context IN ('1-URGENT', '2-HIGH')")(lambda d: d.where(F.col("category").isin("ECONOMY") & F.col("context").isin("1-URGENT", "2-HIGH")).select("id"))

@@ -110,9 +110,13 @@ query("ir_tfidf", f"WITH {RETRIEVE} SELECT item_id, doc_id, round(score, 6) AS s
 query("ir_faq", f"WITH {RETRIEVE} SELECT b.item_id, r.doc_id AS faq_id, round(score, 6) AS score FROM benchmark b LEFT JOIN r ON b.item_id = r.item_id AND rank = 1 AND score > 0.3")(
     lambda spark, d: text.answer(table(spark, d, "documents").withColumnRenamed("doc_id", "faq_id"), table(spark, d, "benchmark")).withColumn("score", F.round("score", 6))
 )
-query("src_faq", "SELECT doc_id, chunk, md5(text) AS h FROM (SELECT doc_id, 0 AS chunk, trim(text) AS text FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND NOT regexp_matches(text, '\\n\\s*\\n'))")(
-    lambda spark, d: text.chunks(table(spark, d, "documents").where(~F.regexp("text", F.lit(r"\n\s*\n")))).select("doc_id", "chunk", F.md5(F.col("text").cast("binary")).alias("h"))
-)
+# one step a paragraph: it joins the open chunk if both have room, else it opens the next
+query(
+    "src_faq",
+    r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+ g(r, i, chunk, open) AS (SELECT r, CAST(1 AS BIGINT), 0, p[1] FROM d WHERE len(p) > 0 UNION ALL SELECT d.r, i + 1, CASE WHEN length(open) + length(p[i + 1]) + 2 <= 500 THEN chunk ELSE chunk + 1 END, CASE WHEN length(open) + length(p[i + 1]) + 2 <= 500 THEN open || chr(10) || chr(10) || p[i + 1] ELSE p[i + 1] END FROM g JOIN d ON g.r = d.r WHERE i < len(p))
+ SELECT doc_id, chunk, md5(arg_max(open, i)) AS h FROM g JOIN d ON g.r = d.r GROUP BY g.r, doc_id, chunk""",
+)(lambda spark, d: text.chunks(table(spark, d, "documents")).select("doc_id", "chunk", F.md5(F.col("text").cast("binary")).alias("h")))
 
 
 def asked(d: DataFrame) -> DataFrame:
@@ -132,8 +136,12 @@ on_ledger("cl_clean_desc", "SELECT DISTINCT description, CASE WHEN contains(desc
         F.col("prompt").alias("description"), model.usable_description(F.col("text"), F.col("prompt")).alias("cleaned")
     )
 )
-on_ledger("agg_patterns_union", "SELECT * FROM (VALUES ('giro', 1, 0), ('bonifico', 1, 1), ('transfer', 2, 1)) v(pattern, id, pos)")(
-    lambda d: roles.patterns_union(d.sparkSession.createDataFrame([(1, '["giro", "bonifico"]'), (2, '["giro", "transfer"]'), (3, None)], "id int, patterns string")).select("pattern", "first.id", "first.pos")
+query(
+    "agg_patterns_union",
+    "SELECT pattern, min_by(id, id * 10 + pos) AS id, min_by(pos, id * 10 + pos) AS pos FROM (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS pattern, unnest(range(0, len(string_split(p_name, ' ')))) AS pos FROM part WHERE p_size % 4 <> 0) GROUP BY 1",
+)(
+    # footer patterns of schemas as JSON lists: the words of each part's name, and none for a quarter of them
+    lambda spark, d: roles.patterns_union(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 != 0, F.to_json(F.split("p_name", " "))).alias("patterns"))).select("pattern", "first.id", F.col("first.pos").cast("long").alias("pos"))
 )
 query("agg_hw", "SELECT event_type, round(avg(value), 3) AS cpu_avg, max(value) AS cpu_max, round(avg(CASE WHEN value - 100 > 0 THEN value - 100 END), 3) AS power_avg, max(CASE WHEN value - 100 > 0 THEN value - 100 END) AS power_max FROM events GROUP BY 1")(
     lambda spark, d: roles.hardware(table(spark, d, "events").select("event_type", F.col("value").alias("cpu"), (F.col("value") - 100).alias("power")), ["event_type"])

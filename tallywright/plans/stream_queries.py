@@ -30,6 +30,6 @@ def daily(spark, sf_dir: str) -> DataFrame:
 
 query("st_poll_monitor", "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(18,2)) AS total FROM events GROUP BY 1")(poll_monitor)
 query("st_daily_spending", f"WITH {EVENTS_SQL} SELECT date AS day, account_label, CAST(sum(amount) AS DECIMAL(18,2)) AS total, count(*) AS n FROM ledger WHERE amount < 0 GROUP BY 1, 2")(daily)
-query("st_stale_jobs", "SELECT * FROM (VALUES (1, 'error'), (2, 'done')) v(job, status)")(
-    lambda spark, _: M.reset_stale(spark.createDataFrame([(1, "running"), (2, "done")], "job int, status string"))
+query("st_stale_jobs", "SELECT o_orderkey AS job, CASE o_orderstatus WHEN 'O' THEN 'error' WHEN 'F' THEN 'done' ELSE 'queued' END AS status FROM orders")(
+    lambda spark, d: M.reset_stale(table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("queued").alias("status")))
 )
