@@ -226,3 +226,15 @@ def confidence(found: DataFrame) -> DataFrame:
     score = reduce(lambda a, b: a + b, [F.when(F.col(c), F.lit(w).cast("decimal(4,2)")).otherwise(F.lit("0.00").cast("decimal(4,2)")) for c, w in weights.items()])
     grade = F.when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
     return found.withColumn("score", score.cast("double")).withColumn("grade", grade)
+
+
+def without_schemas(cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The cache without the given keys, or without any."""
+    return cache.limit(0) if keys is None else cache.join(keys.select("key"), "key", "left_anti")
+
+
+def with_footers(cache: DataFrame, found: DataFrame) -> DataFrame:
+    """The cache (key, footers) with newly found footer patterns (key, footers) behind the known ones of their key, each once; keys that the cache lacks stay out."""
+    new = found.groupBy("key").agg(F.flatten(F.array_sort(F.collect_list("footers"))).alias("new"))
+    none = F.array().cast("array<string>")
+    return cache.join(new, "key", "left").withColumn("footers", F.array_distinct(F.concat(F.coalesce("footers", none), F.coalesce("new", none)))).drop("new")

@@ -142,3 +142,37 @@ def rates(ticks: DataFrame, keys: list[str], ticks_back: int = 20) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("tick").rowsBetween(1 - ticks_back, 0)
     dt, dc = F.last("t").over(w) - F.first("t").over(w), F.last("c").over(w) - F.first("c").over(w)
     return ticks.select(*keys, "tick", F.when((dt >= 1) & (dc > 0), F.round(dc / dt, 4)).alias("rate"))
+
+
+#: Runs of a group from which its rates are worth comparing.
+ENOUGH = 10
+
+
+def benchmark_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a group of runs: what its classifier and its categoriser runs gave, and its rank.
+
+    runs: keys, benchmark_type, duration_seconds, n_transactions and the rates.
+    Times of categoriser runs count from their group's 5th to its 95th
+    percentile only. Groups are ranked by exact rate, then by its half width;
+    null keys are keys.
+    """
+    clf, cat = F.col("benchmark_type") == "classifier", F.col("benchmark_type") == "categorizer"
+    ten = F.when((F.col("n_transactions") > 0) & (F.col("duration_seconds") > 0), F.col("duration_seconds") / F.col("n_transactions") * 10)
+    rows = runs.withColumn("ten", F.when(cat, ten)).withColumn("long", F.when(cat, F.col("duration_seconds")))
+    ends = F.array(F.lit(0.05), F.lit(0.95))
+    cut = rows.groupBy(*keys).agg(F.percentile("ten", ends).alias("q_ten"), F.percentile("long", ends).alias("q_long"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}"))
+    both = rows.alias("r").join(cut.alias("c"), same).select("r.*", "q_ten", "q_long")
+    inside = lambda c: F.when(F.col(c).between(F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]), F.col(c))
+    of = lambda hit, c: F.when(hit, F.col(c))
+    g = both.groupBy(*keys).agg(
+        F.count(of(clf, "duration_seconds")).alias("clf_n"), F.avg(of(clf, "amount_accuracy")).alias("clf_amount"), F.avg(of(clf, "duration_seconds")).alias("clf_seconds"),
+        F.count("long").alias("cat_n_raw"), F.count(inside("long")).alias("cat_n"), F.avg(of(cat, "cat_exact_accuracy")).alias("exact"), F.stddev_samp(of(cat, "cat_exact_accuracy")).alias("std"),
+        F.avg(of(cat, "cat_fuzzy_accuracy")).alias("fuzzy"), F.avg(of(cat, "cat_fallback_rate")).alias("fallback"), F.avg(inside("ten")).alias("seconds_10"),
+    )
+    g = g.withColumn("ci95", F.coalesce(F.when(F.col("cat_n") >= 2, t_value(F.col("cat_n")) * F.col("std") / F.sqrt("cat_n")), F.lit(0.0))).withColumn("wrong", F.greatest(F.lit(0.0), 1 - F.col("fuzzy") - F.col("fallback")))
+    order = Window.orderBy(F.desc(F.coalesce(F.round("exact", 9), F.lit(-1.0))), F.round("ci95", 9), *[F.col(k).asc_nulls_last() for k in keys])  # a row a group
+    r = lambda *names: [F.round(n, 4).alias(n) for n in names]
+    return g.select(*keys, "clf_n", *r("clf_amount", "clf_seconds"), "cat_n", "cat_n_raw", (F.col("cat_n") >= ENOUGH).alias("enough"), *r("exact", "ci95", "fuzzy", "wrong", "fallback", "seconds_10"), F.row_number().over(order).cast("long").alias("rank"))

@@ -49,6 +49,31 @@ query(
     "agg_trimmed_mean",
     f"WITH r AS ({RUN}), q AS (SELECT file, quantile_cont(quality, 0.05) AS lo, quantile_cont(quality, 0.95) AS hi FROM r GROUP BY 1) SELECT r.file, round(avg(quality), 4) AS mean, count(*) AS n FROM r JOIN q ON r.file = q.file WHERE quality BETWEEN lo AND hi GROUP BY 1",
 )(lambda spark, d: stats.trimmed_mean(runs(spark, d), ["file"], "quality"))
+BENCH_RUNS = """r AS (SELECT CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_suppkey % 9 END AS model, l_returnflag AS provider, CASE WHEN l_linenumber % 3 = 0 THEN 'classifier' ELSE 'categorizer' END AS benchmark_type, l_quantity AS duration_seconds, CAST(l_linenumber - 1 AS BIGINT) AS n_transactions,
+ l_discount * 10 AS amount_accuracy, l_discount * 5 AS cat_exact_accuracy, l_discount * 6 AS cat_fuzzy_accuracy, l_tax AS cat_fallback_rate FROM lineitem)"""
+
+
+def bench_runs(spark, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select(
+        F.nullif(F.col("l_suppkey") % 9, F.lit(0)).alias("model"), F.col("l_returnflag").alias("provider"), F.when(F.col("l_linenumber") % 3 == 0, "classifier").otherwise("categorizer").alias("benchmark_type"),
+        F.col("l_quantity").alias("duration_seconds"), (F.col("l_linenumber") - 1).cast("long").alias("n_transactions"), (F.col("l_discount") * 10).alias("amount_accuracy"), (F.col("l_discount") * 5).alias("cat_exact_accuracy"),
+        (F.col("l_discount") * 6).alias("cat_fuzzy_accuracy"), F.col("l_tax").alias("cat_fallback_rate"),
+    )
+
+
+_T = "CASE " + " ".join(f"WHEN cat_n - 1 >= {df} THEN {t}" for df, t in sorted(stats.T_TABLE, reverse=True)) + " END"
+query(
+    "agg_bench_summary",
+    f"""WITH {BENCH_RUNS}, x AS (SELECT *, CASE WHEN benchmark_type = 'categorizer' THEN duration_seconds END AS long, CASE WHEN benchmark_type = 'categorizer' AND n_transactions > 0 AND duration_seconds > 0 THEN duration_seconds / n_transactions * 10 END AS ten FROM r),
+ q AS (SELECT model, provider, quantile_cont(long, 0.05) AS l0, quantile_cont(long, 0.95) AS l1, quantile_cont(ten, 0.05) AS t0, quantile_cont(ten, 0.95) AS t1 FROM x GROUP BY 1, 2),
+ g AS (SELECT x.model, x.provider, count(CASE WHEN benchmark_type = 'classifier' THEN 1 END) AS clf_n, avg(CASE WHEN benchmark_type = 'classifier' THEN amount_accuracy END) AS clf_amount, avg(CASE WHEN benchmark_type = 'classifier' THEN duration_seconds END) AS clf_seconds, count(long) AS cat_n_raw,
+ count(CASE WHEN long BETWEEN l0 AND l1 THEN 1 END) AS cat_n, avg(CASE WHEN long IS NOT NULL THEN cat_exact_accuracy END) AS exact, stddev_samp(CASE WHEN long IS NOT NULL THEN cat_exact_accuracy END) AS std, avg(CASE WHEN long IS NOT NULL THEN cat_fuzzy_accuracy END) AS fuzzy,
+ avg(CASE WHEN long IS NOT NULL THEN cat_fallback_rate END) AS fallback, avg(CASE WHEN ten BETWEEN t0 AND t1 THEN ten END) AS seconds_10 FROM x JOIN q ON x.model IS NOT DISTINCT FROM q.model AND x.provider = q.provider GROUP BY 1, 2),
+ h AS (SELECT *, CASE WHEN cat_n >= 2 THEN coalesce({_T} * std / sqrt(cat_n), 0.0) ELSE 0.0 END AS ci95, greatest(0.0, 1 - fuzzy - fallback) AS wrong FROM g)
+ SELECT model, provider, clf_n, round(clf_amount, 4) AS clf_amount, round(clf_seconds, 4) AS clf_seconds, cat_n, cat_n_raw, cat_n >= 10 AS enough, round(exact, 4) AS exact, round(ci95, 4) AS ci95, round(fuzzy, 4) AS fuzzy, round(wrong, 4) AS wrong, round(fallback, 4) AS fallback, round(seconds_10, 4) AS seconds_10,
+ row_number() OVER (ORDER BY coalesce(round(exact, 9), -1.0) DESC, round(ci95, 9), model NULLS LAST, provider NULLS LAST) AS rank FROM h""",
+)(lambda spark, d: stats.benchmark_summary(bench_runs(spark, d), ["model", "provider"]))
 query(
     "jn_bench_merge",
     f"WITH r AS ({RUN}), a AS (SELECT file, model, round(avg(quality), 6) AS score, 'a' AS host FROM r WHERE model IS NOT NULL AND model < 6 GROUP BY 1, 2), b AS (SELECT file, model, round(avg(error), 6) AS miss, 'b' AS host FROM r WHERE model > 3 GROUP BY 1, 2) SELECT coalesce(a.file, b.file) AS file, coalesce(a.model, b.model) AS model, score, miss, coalesce(a.host, b.host) AS host FROM a FULL JOIN b ON a.file = b.file AND a.model = b.model",
