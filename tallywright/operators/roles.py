@@ -65,29 +65,6 @@ def taxonomy_rows(spark, tree: dict[str, dict[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "type string, category string, subcategory string, sort_order_cat int, sort_order_sub int")
 
 
-def matched_back(cleaned: DataFrame, sources: DataFrame, batch: str = "batch") -> DataFrame:
-    """Pairs cleaned texts (batch, i, text) with source texts (batch, j, text) one to one, best containment first, ties by the later i, then j.
-
-    A batch is one call's few dozen texts; batches are independent groups.
-    """
-    import pandas as pd
-
-    from ..functions.scalars import containment
-
-    scored = cleaned.select(batch, "i", F.col("text").alias("a")).join(sources.select(batch, "j", F.col("text").alias("b")), batch).select(batch, "i", "j", containment(F.col("a"), F.col("b")).alias("score")).where("score > 0")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_i, used_j, out = set(), set(), []
-        for r in pdf.sort_values(["score", "i", "j"], ascending=False).itertuples():
-            if r.i not in used_i and r.j not in used_j:
-                used_i.add(r.i)
-                used_j.add(r.j)
-                out.append(r.Index)
-        return pdf.loc[out]
-
-    return scored.groupBy(batch).applyInPandas(greedy, scored.schema)
-
-
 def latest_session(runs: DataFrame, share: float = 0.5) -> DataFrame:
     """Rows of the newest version where it is at least the given share, else those of its day, else of the newest run."""
     top = runs.agg(F.max("version").alias("version"), F.max("run_id").alias("run"), F.count(F.lit(1)).alias("all"))

@@ -64,7 +64,7 @@ def _listed(name: Column, names: tuple[str, ...]) -> Column:
 def _first(columns: Column, rank) -> Column:
     """The col of the least (rank, col) among the columns whose rank isn't null."""
     ranked = F.filter(F.transform(columns, lambda p: F.struct(rank(p).alias("r"), p["col"].alias("col"))), lambda x: x["r"].isNotNull())
-    return F.array_min(ranked)["col"]
+    return F.array_min(ranked).getField("col")
 
 
 def roles(p: Column, credit_card: Column) -> Column:
@@ -91,7 +91,7 @@ def roles(p: Column, credit_card: Column) -> Column:
     neg_a, neg_b = a["negatives"] > 0, b["negatives"] > 0
     a_is_debit = F.when(neg_a == neg_b, a["filled"] >= b["filled"]).otherwise(neg_a)
     amount = F.coalesce(_first(amounts, lambda x: _listed(x["name"], AMOUNT_NAMES)), _first(amounts, lambda x: one))
-    lone = F.filter(amounts, lambda x: x["col"] == amount)[0]
+    lone = F.get(F.filter(amounts, lambda x: x["col"] == amount), F.lit(0))
     outflow = _listed(lone["name"], DEBIT_NAMES).isNotNull() | (_listed(lone["name"], CREDIT_NAMES).isNull() & credit_card)
     split = pair.isNotNull()
     return F.struct(

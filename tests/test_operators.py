@@ -153,7 +153,7 @@ def test_model_slots_fall_back(spark):
 def test_matching_back_is_greedy(spark):
     a = spark.createDataFrame([(1, 0, "red shoe"), (1, 1, "red"), (1, 2, "zzz")], "batch int, i int, text string")
     b = spark.createDataFrame([(1, 0, "red shoe shop"), (1, 1, "the red one")], "batch int, j int, text string")
-    assert sorted((r["i"], r["j"]) for r in roles.matched_back(a, b).collect()) == [(0, 0), (1, 1)]
+    assert sorted((r["j"], r["i"]) for r in matching.reverse_matches(a.withColumnRenamed("i", "j"), b.withColumnRenamed("j", "i")).collect()) == [(0, 0), (1, 1)]
 
 
 def test_rules_and_taxonomy_from_files(spark, tmp_path):
