@@ -99,6 +99,18 @@ def numbered(rows: DataFrame, keys: list[str], name: str = "_tw_rank") -> DataFr
     return out.select(*rows.columns, name)
 
 
+#: Numbers that one row makes at a time.
+NUMBERS = 1 << 16
+
+
+def each_number(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """A row for each number from 0 to ``n`` - 1 of each row, in two steps with the rows dealt out between, so that no row or task makes all of a hot key's."""
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / NUMBERS).cast("long"))).alias("_tw_chunk"))
+    dealt = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    low = F.col("_tw_chunk") * NUMBERS
+    return dealt.select("*", F.explode(F.sequence(low, F.least(F.col(n), low + NUMBERS) - 1)).alias(name)).drop("_tw_chunk")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected graph given as (a, b) longs.
 

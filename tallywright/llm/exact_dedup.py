@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import each_number, saved
 
 COUNTERS = 1024
 
@@ -85,5 +85,5 @@ def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     same = (F.col("r.sha") == F.col("j.sha")) & F.col("r.doc_id").eqNullSafe(F.col("j.doc_id"))
     rest = joined.alias("j").join(repeated.alias("r"), same & F.col("j.doc_id").eqNullSafe(F.col("j.keep_id")), "left_anti").withColumn("kept", wins)
     facts = heavy.unionByName(groups)
-    tied = repeated.join(facts, "sha").where(wins).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).withColumn("kept", F.col("i") == 1)
+    tied = each_number(repeated.join(facts, "sha").where(wins), "n", "i").withColumn("kept", F.col("i") == 0)
     return rest.select(*out).unionByName(tied.select(*out))

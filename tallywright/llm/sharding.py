@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, saved
+from .common import each_number, numbered, saved
 
 LIMIT = 1 << 20
 HASH_BITS = 62
@@ -89,7 +89,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     if not deep:
         return whole  # nothing got as deep as the whole hash
     same = out.where("over").groupBy("doc_id", "shard_id", "depth", "doc_bytes").agg(F.count(F.lit(1)).alias("n"))
-    counted = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    counted = each_number(same, "n", "i")
     return whole.unionByName(_paged(counted, limit, "i").select("doc_id", *_NAMES))
 
 

@@ -168,3 +168,11 @@ def test_empty_tables(empty):
     assert mixing.mixed_documents(empty).collect() == []
     assert sharding.shards(empty).collect() == []
     assert sharding.sharded_documents(empty).collect() == []
+
+
+def test_numbers_come_in_parts(spark, monkeypatch):
+    from tallywright.llm import common
+
+    monkeypatch.setattr(common, "NUMBERS", 3)
+    rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 10)], "k string, n long")
+    assert sorted((r["k"], r["i"]) for r in common.each_number(rows, "n", "i").collect()) == sorted((k, i) for k, n in (("a", 1), ("b", 3), ("c", 10)) for i in range(n))

@@ -72,3 +72,11 @@ def test_run_on_odd_and_empty_tables(spark, make, tmp_path):
         assert out.columns == [*names, "shard_id", "depth", "page", "doc_bytes", "shard_bytes"]
         got = out.collect()
         assert bool(got) == bool(rows) and all(r["text"] and r["shard_id_"] == "x" for r in got)
+
+
+def test_names_that_differ_by_an_underscore(spark):
+    """Columns page and page_ both keep a name of their own beside the shard's page."""
+    docs = spark.createDataFrame([(1, "some text", 5, 6, "x"), (2, None, 7, 8, "y")], "doc_id long, text string, page long, page_ long, DEPTH string")
+    out = corpus_pipeline.assign_shards(spark, docs, "")
+    assert out.columns == ["doc_id", "text", "page__", "page_", "DEPTH_", "shard_id", "depth", "page", "doc_bytes", "shard_bytes"]
+    assert {(r["doc_id"], r["page__"], r["page_"], r["DEPTH_"]) for r in out.collect()} == {(1, 5, 6, "x"), (2, 7, 8, "y")}
