@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, saved
+from .common import fold_of, freed, saved
 
 #: At most so many labelled documents of each class and so many bytes of text train the model, lowest hash of the id first.
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
@@ -264,7 +264,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     first: dict[str, bool] = {}
     for text, toxic in zip(got["text"].to_pylist(), got["toxic"].to_pylist()):
         first.setdefault(text, toxic > 0)
-    return train(list(first), list(first.values()))
+    model = train(list(first), list(first.values()))
+    freed()
+    return model
 
 
 class Scorer:
