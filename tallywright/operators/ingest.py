@@ -115,10 +115,9 @@ def canonical(rows: DataFrame, schema: StatementSchema, account: Column, doc_typ
     amount = S.signed_amount(schema.convention, S.parse_amount(cell(schema.amount)), S.parse_amount(cell(schema.debit)), S.parse_amount(cell(schema.credit)))
     if schema.invert:
         amount = -amount
-    out = rows.select(
-        "source_file", "row_idx", S.parse_date(cell(schema.date), schema.date_layout).alias("date"), amount.alias("amount"),
-        S.join_descriptions(cell(schema.description)).alias("description"), account.alias("account_label"),
-    )
+    # a filter on the result stops at the generator, so it repeats none of the parsing
+    values = F.struct(S.parse_date(cell(schema.date), schema.date_layout).alias("date"), amount.alias("amount"), S.join_descriptions(cell(schema.description)).alias("description"), account.alias("account_label"))
+    out = rows.select("source_file", "row_idx", F.inline(F.array(values)))
     why = F.when(F.col("date").isNull(), "no date").when(F.col("amount").isNull(), "no amount")
     out = out.withColumn("reject", why).withColumn("id", S.transaction_id(F.col("account_label"), F.col("source_file"), F.col("date"), F.col("amount"), F.col("description")))
     return out.withColumn("tx_type", S.transaction_type(F.col("description"), F.col("amount"), F.lit(doc_type), list(transfer_words)))

@@ -137,9 +137,10 @@ def parsed(body: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     rows = body.join(schemas.select("source_file", F.struct(*FIELDS).alias("s")), "source_file")
     cell = lambda role: F.get("cells", F.col(f"s.{role}")).alias(role)
-    # step by step, as each of these columns stands many times in the next
+    # step by step, as each of these columns stands many times in the next; a filter on the result stops at the generator, so it repeats none of the parsing
     picked = rows.select("source_file", "row_idx", "s.convention", "s.invert", *[cell(c) for c in PLACES])
-    read = picked.select("source_file", "row_idx", "convention", "invert", S.parse_date(F.col("date")).alias("date"), S.join_descriptions(F.col("description")).alias("description"), *[S.parse_amount(F.col(c)).alias(c) for c in ("amount", "debit", "credit")])
+    values = F.struct(S.parse_date(F.col("date")).alias("date"), S.join_descriptions(F.col("description")).alias("description"), *[S.parse_amount(F.col(c)).alias(c) for c in ("amount", "debit", "credit")])
+    read = picked.select("source_file", "row_idx", "convention", "invert", F.inline(F.array(values)))
     a, d, c = (F.col(x) for x in ("amount", "debit", "credit"))
     value = reduce(lambda rest, kind: F.when(F.col("convention") == kind, S.signed_amount(kind, a, d, c)).otherwise(rest), SIGN_CONVENTIONS, F.lit(None).cast("decimal(18,4)"))
     out = read.select("source_file", "row_idx", "date", value.alias("amount"), "description", "invert").withColumn("amount", F.when(F.col("invert"), -F.col("amount")).otherwise(F.col("amount"))).drop("invert")
