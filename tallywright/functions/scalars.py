@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schema import MONEY
 
@@ -82,9 +85,19 @@ def join_descriptions(*parts: Column) -> Column:
     return F.aggregate(F.array(*[F.trim(F.coalesce(p.cast("string"), F.lit(""))) for p in parts]), F.lit(""), add)
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold().strip())
+
+
 def normal_description(c: Column) -> Column:
-    """Lower case, without outer space. Unicode composition is left as it is."""
-    return F.lower(F.trim(c))
+    """Composed (NFC), case-folded, without outer white space; null stays null.
+
+    Spark has neither composition nor folding. Plain ASCII text, which needs
+    neither, stays in the JVM; only other texts are sent to Python.
+    """
+    plain = F.regexp(c, F.lit(r"^[\x00-\x7F]*$"))
+    return F.coalesce(_composed(F.when(~plain, c)), F.lower(F.btrim(c, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))))
 
 
 def plain_amount(c: Column) -> Column:

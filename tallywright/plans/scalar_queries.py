@@ -63,8 +63,9 @@ on_ledger(
     "sc_desc_concat",
     ", t AS (SELECT id, category, CASE WHEN raw_description IS NULL THEN description ELSE description || ' ' || raw_description END AS text FROM ledger) SELECT id, CASE WHEN category IS NULL OR contains(lower(text), lower(category)) THEN text ELSE text || ' ' || category END AS text FROM t",
 )(lambda d: d.select("id", S.join_descriptions(F.col("description"), F.lit("nan"), F.col("raw_description"), F.lit("0b2d3c4e-1111-2222-3333-444455556666"), F.col("category"), F.col("category")).alias("text")))
-on_ledger("sc_desc_norm", "SELECT id, lower(trim('  ' || coalesce(raw_description, '') || ' ')) AS text FROM ledger")(
-    lambda d: d.select("id", S.normal_description(F.concat(F.lit("  "), F.coalesce("raw_description", F.lit("")), F.lit(" "))).alias("text"))
+# a decomposed accent and a letter that folds to two
+on_ledger("sc_desc_norm", "SELECT id, trim(replace(lower(nfc_normalize('  ' || coalesce(raw_description, '') || CASE WHEN to_review THEN ' CAFE' || chr(769) || ' Straße ' ELSE ' ' END)), 'ß', 'ss')) AS text FROM ledger")(
+    lambda d: d.select("id", S.normal_description(F.concat(F.lit("  "), F.coalesce("raw_description", F.lit("")), F.when(F.col("to_review"), " CAFE\u0301 Straße ").otherwise(" "))).alias("text"))
 )
 on_ledger(
     "sc_tx_id",

@@ -82,3 +82,9 @@ def test_display(spark):
     assert apply(spark, ["12|", "|5", "3|nan", "|"], S.display_raw_amount) == ["12", "5", "3", ""]
     assert apply(spark, ["2024-02-01", "no"], S.display_date) == ["01/02/2024", "no"]
     assert apply(spark, ["a☺ b!  c", None], S.strip_non_text) == ["a b! c", None]
+
+
+def test_normal_description(spark):
+    """Composition, folding and white space of any kind; null stays null."""
+    cases = {"  Cafe\u0301 ": "caf\u00e9", "STRA\u1e9eE\u00a0": "strasse", "\t POS 12\x1f\n": "pos 12", "\u039f\u03a3": "\u03bf\u03c3", "\ufb01N": "fin", "\u0130": "i\u0307", "": "", " ": "", None: None}
+    assert apply(spark, list(cases), S.normal_description) == list(cases.values())
