@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from tallywright.operators import matching, pairing
+from tallywright.operators import matching, pairing, review
 
 from .test_operators import DAY, LEDGER, slow_pairs
 
@@ -37,3 +37,13 @@ def test_pass_needs_no_candidates(spark, monkeypatch):
 def test_repeated_ids_and_null_accounts(spark):
     rows = [("x", DAY, Decimal(5), "a", "s"), ("x", DAY, Decimal(5), "b", "s"), ("y", DAY, Decimal(-5), "c", "s"), ("z", DAY, Decimal(-5), None, "s")]
     assert [tuple(r)[:2] for r in matching.transfer_pairs(spark.createDataFrame(rows, LEDGER)).collect()] == [("x", "y")]
+
+
+def test_repair_gives_the_difference(spark):
+    rows = dense(5, 300)
+    new = [(i, d, a - Decimal("0.01") if k % 10 == 3 else a, *rest) for k, (i, d, a, *rest) in enumerate(rows)]
+    old = matching.transfer_pairs(spark.createDataFrame(rows, LEDGER), ["transfer"])
+    gone, come = review.repaired_transfers(old, spark.createDataFrame(new, LEDGER), ["transfer"])
+    before, after = set(slow_pairs(rows, ["transfer"])), set(slow_pairs(new, ["transfer"]))
+    pairs = lambda d: {(r["a_id"], r["b_id"], r["confidence"]) for r in d.collect()}
+    assert pairs(gone) == before - after and pairs(come) == after - before
