@@ -47,3 +47,21 @@ def test_repair_gives_the_difference(spark):
     before, after = set(slow_pairs(rows, ["transfer"])), set(slow_pairs(new, ["transfer"]))
     pairs = lambda d: {(r["a_id"], r["b_id"], r["confidence"]) for r in d.collect()}
     assert pairs(gone) == before - after and pairs(come) == after - before
+
+
+@pytest.mark.parametrize("most", (4_000_000, 20))
+def test_matching_back_by_sets_of_words(spark, monkeypatch, most):
+    """Few sets of words on many rows, in one task and, for batches of too many pairs of sets, by rounds."""
+    monkeypatch.setattr(matching, "CLASS_PAIRS", most)
+    rng = random.Random(3)
+    words = ["shop", "bar", "pay", "alpha"]
+    text = lambda: " ".join(rng.sample(words, rng.randint(1, 3)))
+    names, texts = ([(b, k, text()) for b, n in (("x", 40), ("y", 3)) for k in range(n)] for _ in "ab")
+    scored = sorted(((-len(set(n.split()) & set(t.split())) / len(set(n.split())), -i, -j, b) for b, j, n in names for c, i, t in texts if b == c))
+    used, want = set(), []
+    for s, i, j, b in scored:
+        if s < 0 and not used & {(b, "i", i), (b, "j", j)}:
+            used |= {(b, "i", i), (b, "j", j)}
+            want.append((b, -i, -j, -s))
+    got = matching.reverse_matches(spark.createDataFrame(names, "batch string, j int, text string"), spark.createDataFrame(texts, "batch string, i int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
