@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import ingest
 from ..sources import statements as St
 from ..sources.adapters import LEDGER_SQL, ledger_lineitem
+from ..stored import Stored
 from .register import query
 
 
 def rendered(spark, sf_dir: str) -> DataFrame:
     """Lines of a statement a source file: two lines before the header, one after the last row, which has no amount."""
-    led = ledger_lineitem(spark, sf_dir).select("source_file", "id", "date", "description", "amount")
-    n = F.row_number().over(Window.partitionBy("source_file").orderBy("date", "id", "amount"))
+    led = Stored(ledger_lineitem(spark, sf_dir).select("source_file", "id", "date", "description", "amount")).df
+    # a file's rows are many and its days few: numbered within the day, after the rows of the days before
+    days = led.groupBy("source_file", "date").agg(F.count(F.lit(1)).alias("c"))
+    known = Stored(days.withColumn("earlier", F.sum("c").over(Window.partitionBy("source_file").orderBy("date")) - F.col("c"))).df
+    led = led.join(known.drop("c"), ["source_file", "date"])
+    n = (F.row_number().over(Window.partitionBy("source_file", "date").orderBy("id", "amount")) + F.col("earlier")).cast("int")
     eu = F.translate(F.format_number("amount", 2), ",.", ".,")
     rows = led.select("source_file", (n + 2).alias("row_idx"), F.concat_ws(";", F.date_format("date", "dd/MM/yyyy"), "description", eu, F.lit("EUR")).alias("line"))
-    per = rows.groupBy("source_file").agg(F.max("row_idx").alias("last"))
+    per = known.groupBy("source_file").agg((F.sum("c") + 2).cast("int").alias("last"))
     line = lambda i, text: F.struct(F.lit(i).alias("row_idx") if isinstance(i, int) else i.alias("row_idx"), F.lit(text).alias("line"))
     around = F.array(line(0, "Account statement;;;"), line(1, "Holder: TEST USER;;;"), line(2, "Date;Description;Amount;Currency"), line(F.col("last") + 1, ";Saldo finale 31/12/2001 1.234,56;;"))
     return rows.unionByName(per.select("source_file", F.explode(around).alias("x")).select("source_file", "x.row_idx", "x.line"))
@@ -29,7 +34,7 @@ PER = "SELECT source_file, max(row_idx) AS last FROM num GROUP BY 1"
 
 def on_cells(name: str, sql: str | None = None):
     def add(fn):
-        query(name, f"WITH {RENDERED} {sql}" if sql else None)(lambda spark, d: fn(St.with_cells(rendered(spark, d))))
+        query(name, f"WITH {RENDERED} {sql}" if sql else None)(lambda spark, d: fn(Stored(St.with_cells(Stored(rendered(spark, d)).df)).df))
         return fn
 
     return add
@@ -84,7 +89,7 @@ SCHEMA = ingest.StatementSchema(date=0, description=1, amount=2)
 
 
 def imported(rows: DataFrame) -> DataFrame:
-    return ingest.canonical(St.body(rows), SCHEMA, F.lit("main"), transfer_words=["ring"])
+    return Stored(ingest.canonical(St.body(rows), SCHEMA, F.lit("main"), transfer_words=["ring"])).df
 
 
 TYPE = "CASE WHEN contains(description, 'ring') THEN CASE WHEN amount < 0 THEN 'internal_out' ELSE 'internal_in' END WHEN amount > 0 THEN 'income' ELSE 'expense' END AS tx_type"
@@ -99,4 +104,8 @@ on_cells(
     "agg_import_recon",
     """, g AS (SELECT source_file, date, description, amount, count(*) AS n FROM num GROUP BY ALL), s AS (SELECT source_file, CAST(sum(n) + 1 AS BIGINT) AS total, CAST(sum(n - 1) AS BIGINT) AS merged, count(*) AS ids, count(CASE WHEN date < DATE '1997-01-01' THEN 1 END) AS existing FROM g GROUP BY 1)
  SELECT source_file, total, CAST(1 AS BIGINT) AS skipped, merged, existing, ids - existing AS new FROM s""",
-)(lambda rows: ingest.import_report(imported(rows), ingest.merge_repeats(imported(rows).where("reject is null")).where("date < '1997-01-01'")))
+)(lambda rows: reconciled(imported(rows)))
+
+
+def reconciled(rows: DataFrame) -> DataFrame:
+    return ingest.import_report(rows, ingest.merge_repeats(rows.where("reject is null")).where("date < '1997-01-01'"))
