@@ -1,10 +1,12 @@
 """Steps over a file's rows hold no file in one task."""
 
+import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallywright.operators import ingest
+from tallywright.sources import sinks
 from tallywright.sources import statements as St
 
 
@@ -36,3 +38,15 @@ def test_steps_by_file(spark, rows):
     got = {r["col"]: (r["n"], r["filled"], r["distinct"], r["kind"], r["negatives"], r["nonzero"]) for r in ingest.column_profiles(rows).where("source_file = 'a'").collect()}
     assert got == {0: (61, 60, 9, "date", 0, 0), 1: (61, 61, 61, "text", 0, 0), 2: (61, 60, 60, "amount", 0, 60)}
     assert {r["source_file"] for r in ingest.column_profiles(rows).collect()} == {"a", "b", None}
+
+
+def test_one_context_is_written_by_several_tasks(spark, tmp_path):
+    kinds = ", ".join(f"{c} {'date' if c == 'date' else 'string'}" for c in sinks.EXPORT)
+    made = [(f"i{i:03}", dt.date(2024, 1, 1) + dt.timedelta(i), *["x"] * (len(sinks.EXPORT) - 2)) for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_by_context(spark.createDataFrame(made, kinds), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 200 and back.select(F.input_file_name()).distinct().count() > 1
