@@ -1,17 +1,20 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into three segments. Two fingerprints that
-differ in at most four bits differ in at most one bit in one of them, so the
-index holds, for each segment and each bit position in it, the segment with
-that bit wildcarded: 64 keys a fingerprint. Members of equal keys are verified
-by the full distance: first all of a key against one of them, which joins a
-group of copies by a star in place of all its pairs, then those of a key that
-are still of different classes against each other.
+A fingerprint of 64 bits is eight bytes. Two fingerprints that differ in at
+most four bits differ in at most four bytes, so the index holds each
+fingerprint with four of its bytes deleted, in all 70 ways; a key is 32 bits
+and the way. Members of equal keys are verified by the full distance: first all
+of a key against one of them, which joins a group of copies by a star in place
+of all its pairs, then those of a key that are still of different classes
+against each other. Unlike keys of some 20 bits, which by chance alone are
+shared by a number of texts that grows with the square of all, keys of 32 bits
+are shared by few but near ones (of 10^6 fingerprints, some 8000 pairs).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,8 +25,8 @@ from pyspark.sql.types import LongType
 
 from .common import Stored, connected_components, saved, with_classes
 
-#: (offset, width) of the segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: The bytes that a key keeps, 0 the lowest: as many as may differ are deleted.
+KEPT = tuple(combinations(range(8), 4))
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
@@ -72,24 +75,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _byte(x: Column, i: int) -> Column:
+    return F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+
+
 def _keys(fp: Column) -> Column:
     out = []
-    for s, (at, width) in enumerate(SEGMENTS):
-        part = F.shiftrightunsigned(fp, at)
-        for bit in range(width):
-            mask = ((1 << width) - 1) & ~(1 << bit)
-            out.append(part.bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.lit((s * 32 + bit) << 32).cast("long")))
+    for way, kept in enumerate(KEPT):
+        key = F.lit(way << 32).cast("long")
+        for place, i in enumerate(kept):
+            key = key.bitwiseOR(F.shiftleft(_byte(fp, i), 8 * place))
+        out.append(key)
     return F.array(*out)
 
 
 def _first_shared(x: Column) -> Column:
-    """The tag (segment and wildcard) under which a pair with this XOR meets, of all the keys it shares."""
-    tag = None
-    for s, (at, width) in reversed(list(enumerate(SEGMENTS))):
-        part = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        here = F.when(part == 0, F.lit(s * 32)).otherwise(F.lit(s * 32) + F.bit_count(part - 1))
-        tag = here if tag is None else F.when(F.bit_count(part) <= 1, here).otherwise(tag)
-    return tag
+    """The first way in which a pair with this XOR meets, of all the keys it shares; null without any."""
+    first = [next((way for way, kept in enumerate(KEPT) if not any(mask >> i & 1 for i in kept)), None) for mask in range(256)]
+    mask = F.lit(0)
+    for i in range(8):
+        mask = mask + F.when(_byte(x, i) != 0, 1 << i).otherwise(0)
+    return F.get(F.array(*[F.lit(way).cast("long") for way in first]), mask)
 
 
 def _near(x: str, y: str) -> Column:

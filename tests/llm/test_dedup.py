@@ -94,6 +94,14 @@ def test_classes_of_fingerprints_are_those_of_all_pairs(spark):
     assert classes(lambda f: got.get(f, f)) == classes(find)
 
 
+def test_fingerprints_without_relation_share_few_keys(spark):
+    import random
+
+    rng = random.Random(9)
+    nodes = spark.createDataFrame([(f, f) for f in (rng.getrandbits(64) - (1 << 63) for _ in range(20_000))], "node long, fp long")
+    assert simhash.bucket_members(nodes).count() < 100  # keys of 20 bits: thousands, and four times as many for twice the texts
+
+
 def test_query_on_a_whole_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     out = queries.op1_simhash(spark, SF)
