@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, freed, saved
+from .common import fold_of, freed, saved, slices
 
 #: At most so many labelled documents of each class and so many bytes of text train the model, lowest hash of the id first.
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
@@ -334,7 +334,7 @@ class Scorer:
 def _scored(model: ChainModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             scores, spans = [], []
             for t in b.column(1).to_pylist():
                 score, found = scorer.score(t)
@@ -369,5 +369,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = Scorer(model)
         for s in texts:
             yield pd.Series([scorer.score(t)[0] for t in s], dtype="float64")
+        s = scorer = None
+        freed()
 
     return docs.where(score(F.col("text").cast("string")) < THRESHOLD)
