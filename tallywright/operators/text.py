@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import Stored
+
+
+#: Terms whose weights are broadcast, the most frequent ones; all others are joined by shuffling.
+FREQUENT = 50_000
+
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", -1), lambda w: F.length(w) > 1)
@@ -22,14 +28,31 @@ def idf(tf: DataFrame, n: int) -> DataFrame:
 
 
 def retrieve(docs: DataFrame, questions: DataFrame, k: int = 3, least: float = 0.0, key: str = "doc_id", question: str = "item_id") -> DataFrame:
-    """(question, key, score, rank): the k documents with the largest cosine over ``least``, ties by key."""
-    tf = term_frequencies(docs, key)
-    weight = idf(tf, docs.count())
-    doc_w = tf.join(weight, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = doc_w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = term_frequencies(questions, question).join(weight, "term", "left").select(question, "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("qw"))
+    """(question, key, score, rank): the k documents with the largest cosine over ``least``, ties by key.
+
+    Texts are dealt out by key once; what is counted and summed by key, or by
+    key and question, then stays where it is. Weights of the most frequent
+    terms, to which most of all postings belong, are broadcast, and those of the
+    questions' terms where Spark finds them small; only postings of rare terms
+    are shuffled by term.
+    """
+    dealt = docs.select(key, "text").repartition(key)
+    tf = term_frequencies(dealt, key)
+    df = Stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).df
+    n = docs.count()
+    weight = df.select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    frequent = Stored(df.where("df > 1").orderBy(F.desc("df"), "term").limit(FREQUENT).select("term")).df
+    heavy = F.broadcast(weight.join(frequent, "term"))
+    rare = weight.join(frequent, "term", "left_anti")
+    w = F.col("tf") * F.col("idf")
+    known = tf.join(heavy, "term", "left")
+    near = known.groupBy(key).agg(F.sum(w * w).alias("near"))
+    far = known.where("idf is null").drop("idf").join(rare, "term").groupBy(key).agg(F.sum(w * w).alias("far"))
+    norms = near.join(far, key, "left").select(key, F.sqrt(F.coalesce("near", F.lit(0.0)) + F.coalesce("far", F.lit(0.0))).alias("norm"))
+    q = term_frequencies(questions, question).join(weight, "term", "left").select(question, "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("qw"), F.col("idf").alias("q_idf"))
+    q = Stored(q).df
     q_norms = q.groupBy(question).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = q.join(doc_w, "term").groupBy(question, key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    dots = tf.join(q, "term").groupBy(question, key).agg(F.sum(F.col("qw") * (F.col("tf") * F.col("q_idf"))).alias("dot"))
     scored = dots.join(norms, key).join(q_norms, question).select(question, key, F.round(F.try_divide(F.col("dot"), F.col("norm") * F.col("q_norm")), 9).alias("score"))
     order = Window.partitionBy(question).orderBy(F.desc("score"), key)
     return scored.where(F.col("score") > least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
