@@ -117,3 +117,22 @@ def test_smallest_subset_meets_in_the_middle():
         target, eps = rng.randint(0, 25), rng.randint(0, 1)
         want = next((list(c) for r in range(1, n + 1) for c in combinations(range(n), r) if abs(sum(amounts[i] for i in c) - target) <= eps), [])
         assert matching.smallest_subset(np.array(amounts, np.int64), target, eps) == want
+
+
+def test_candidates_compare_little_more_than_they_find(spark):
+    """All pairs by brute force; rows without a word meet in the buckets of the strict bounds, and a pair's first side goes forward only."""
+    rows = [(f"{i:03}", date(2024, 1, 1) + timedelta(i * 7 % 13), Decimal((-1) ** i * (1000 + i % 3)).scaleb(-2), f"a{i % 4}", "word" if i % 5 == 0 else "none") for i in range(120)]
+    ledger = spark.createDataFrame(rows, "id string, date date, amount decimal(18,4), account_label string, description string")
+    out = matching.transfer_candidates(ledger, ["word"])
+    want = set()
+    for x in rows:
+        for y in rows:
+            gap, off = abs((x[1] - y[1]).days), abs(x[2] + y[2])
+            if (x[1], x[0]) < (y[1], y[0]) and x[3] != y[3] and off <= Decimal("0.01") and gap <= 5:
+                if "word" in (x[4], y[4]):
+                    want.add((x[0], y[0], "high"))
+                elif off <= Decimal("0.005") and gap <= 1:
+                    want.add((x[0], y[0], "medium"))
+    got = [(r["a_id"], r["b_id"], r["confidence"]) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {c for *_, c in got} == {"high", "medium"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3
