@@ -3,7 +3,7 @@
 Labels are by document, so token tags are derived first: a token of a toxic
 document is tagged when one of its features (the word, its beginnings and
 endings) is significantly bound to toxic documents. A two-state chain CRF is
-fitted to these tags. Forward-backward marginals of each whole text are summed
+fitted to these tags, by tasks over all labelled documents. Forward-backward marginals of each whole text are summed
 up to a document score, calibrated by logistic regression, and to offsets.
 """
 
@@ -12,25 +12,27 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, freed, saved, slices
+from .common import Stored, fold_of, freed, saved, slices, tidied
 
-#: At most so many labelled documents of each class and so many bytes of text train the model, lowest hash of the id first.
-MAX_TOXIC, MAX_CLEAN = 1000, 2000
-MAX_BYTES = 16 << 20
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+")
 #: Tokens whose transfer matrices are multiplied one after the other; the products of whole blocks carry the chain on.
 _STRIDE = 64
 _CACHE = 400_000
+#: Features that a task counts at once, tokens of its chains at once and altogether, about.
+_PART, _TOKENS, _TASK = 100_000, 1 << 17, 1 << 19
+#: Parts of one to which numbers are rounded before they are summed: a float holds sums below 2^33 of them exactly.
+_EXACT = float(1 << 20)
 _DEFAULT = math.log(1e-9)
 
 
@@ -95,24 +97,18 @@ def tokens_of(text: str | None) -> list[str]:
     return [t.lower() for t in _TOKEN.findall(text or "")]
 
 
-def bound_features(docs: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Features that stand in more toxic documents than chance gives, by the G-test over all features."""
-    n, k = len(docs), sum(toxic)
-    if not 0 < k < n:
-        return set()
-    pos: Counter[str] = Counter()
-    neg: Counter[str] = Counter()
-    for tokens, y in zip(docs, toxic):
-        (pos if y else neg).update({f for t in set(tokens) for f in features(t)})
-    share, need = k / n, 2 * (math.log(max(2, len(pos))) + 2)
-    out = set()
-    for f, p in pos.items():
-        m, q = p + neg[f], neg[f]
-        if p / m > max(0.6, 1.5 * share):
-            g = 2 * (p * math.log(p / (m * share)) + (q * math.log(q / (m * (1 - share))) if q else 0))
-            if g > need:
-                out.add(f)
-    return out
+def _balance(n: int, k: int) -> float:
+    """The weight of a clean text where ``k`` of ``n`` texts are toxic: all clean ones count for two a toxic one at most."""
+    return min(1.0, 2 * k / (n - k)) if n > k else 1.0
+
+
+def bound(p: np.ndarray, q: np.ndarray, n: int, k: int, kinds: int) -> np.ndarray:
+    """Which features that stand in ``p`` of the ``k`` toxic and ``q`` of the ``n - k`` clean texts are bound to toxic ones, by the G-test over all ``kinds`` of them."""
+    p, q = p.astype(float), q.astype(float)
+    share, clean = k / n, _balance(n, k)
+    often = p / (p + clean * q) > max(0.6, 1.5 * k / (k + clean * (n - k)))
+    g = 2 * (p * np.log(p / ((p + q) * share)) + np.where(q > 0, q * np.log(np.maximum(q, 1) / ((p + q) * (1 - share))), 0))
+    return often & (p / (p + q) > share) & (g > 2 * (math.log(max(2, kinds)) + 2))
 
 
 class _Chains:
@@ -142,7 +138,7 @@ class _Chains:
         return k * self.count + b
 
     def marginals(self, e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(T) of each token and the expected transitions; ``e``: potentials, (stride, blocks).
+        """P(T) of each token and the expected transitions of each block; ``e``: potentials, (stride, blocks).
 
         Vectors are kept as the ratio of T to O: forward r, backward s.
         """
@@ -174,99 +170,283 @@ class _Chains:
         for k in range(_STRIDE):
             x = forward[k]
             forward[k + 1] = (w01[k] + x * w11[k]) / (w00[k] + x * w10[k])
-        p, pairs, s, inner = np.zeros(e.shape), np.zeros((2, 2)), end, real & ~first
+        p, pairs, s, inner = np.zeros(e.shape), np.zeros((4, self.count)), end, real & ~first
         for k in range(_STRIDE - 1, -1, -1):
             both = forward[k + 1] * s
             p[k] = both / (1 + both)
             x = forward[k]
             joint = w00[k], w01[k] * s, x * w10[k], x * w11[k] * s
             share = inner[k] / (joint[0] + joint[1] + joint[2] + joint[3])
-            pairs += np.array([j @ share for j in joint]).reshape(2, 2)
+            for i, j in enumerate(joint):
+                pairs[i] += j * share
             s = (w10[k] + w11[k] * s) / (w00[k] + w01[k] * s)
-        return p * real, pairs
+        return p * real, pairs.reshape(2, 2, -1)
 
 
-def train(texts: list[str], toxic: list[bool], rounds: int = 40) -> ChainModel:
-    """Fits the CRF by full-batch Adagrad on the log-likelihood of the derived tags of whole chains, then calibrates."""
-    words: dict[str, str] = {}
-    docs = [[words.setdefault(w, w) for w in tokens_of(t)] for t in texts]  # one string a word, not one a token
-    bound = bound_features(docs, toxic)
-    if not bound:
-        return ChainModel()
-    index = {f: i for i, f in enumerate(sorted(bound))}
-    # only bound features carry weights, all other tokens share the bias
-    known = {t: np.array([index[f] for f in features(t) if f in index], np.int64) for t in words}
-    chains = _Chains(np.array([len(d) for d in docs], np.int64))
-    place = chains.places()
-    at, feat, tags, t = [], [], np.zeros(len(place), bool), 0
-    for tokens, y in zip(docs, toxic):
-        for token in tokens:
-            if len(x := known[token]):
-                at.append(np.full(len(x), t))
-                feat.append(x)
-                tags[t] = y
-            t += 1
-    at_, feat_ = place[np.concatenate(at)], np.concatenate(feat)
-    shape = (_STRIDE, chains.count)
-    y = np.zeros(shape)
-    y.ravel()[place] = tags
-    seen, inside = np.zeros((2, 2)), ~chains.first.ravel()[place[1:]]
-    np.add.at(seen, (tags[:-1].astype(int)[inside], tags[1:].astype(int)[inside]), 1)
-    w, bias, trans = np.zeros(len(index)), -3.0, np.zeros((2, 2))
-    gw, gb, gt = np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+_COUNTED = "feature string, toxic long, clean long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of the texts (text, toxic) each feature stands, of each class; a feature may come more than once."""
+    known: dict[str, list[str]] = {}
+    both: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+    def parts() -> Iterator[pa.RecordBatch]:
+        clean, toxic = both
+        names = list(clean | toxic)
+        for i in range(0, len(names), _PART):
+            some = names[i : i + _PART]
+            yield pa.record_batch([pa.array(some, pa.string()), pa.array([toxic[f] for f in some], pa.int64()), pa.array([clean[f] for f in some], pa.int64())], names=["feature", "toxic", "clean"])
+        clean.clear()
+        toxic.clear()
+
+    for b in slices(batches):
+        for text, y in zip(b.column(0), b.column(1)):
+            found: set[str] = set()
+            for w in set(tokens_of(text.as_py())):
+                if (x := known.get(w)) is None:
+                    if len(known) >= _PART // 4:
+                        known.clear()
+                    x = known[w] = features(w)
+                found.update(x)
+            both[y.as_py()].update(found)
+            if len(both[0]) + len(both[1]) > _PART:
+                yield from parts()
+    yield from parts()
+
+
+_REDUCED = "toxic boolean, n int, at array<int>, feat array<int>"
+
+
+def _reduced(index: dict[str, int]):
+    """Of each text (text, toxic) its number of tokens and where which bound features stand; all else of it shares the bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for b in slices(batches):
+            n, places, feats = [], [], []
+            for text in b.column(0):
+                tokens, at, feat = tokens_of(text.as_py()), [], []
+                for i, w in enumerate(tokens):
+                    if (x := known.get(w)) is None:
+                        if len(known) >= _PART:
+                            known.clear()
+                        x = known[w] = [index[f] for f in features(w) if f in index]
+                    if x:
+                        at += [i] * len(x)
+                        feat += x
+                n.append(len(tokens))
+                places.append(at)
+                feats.append(feat)
+            ints = pa.list_(pa.int32())
+            yield pa.record_batch([b.column(1), pa.array(n, pa.int32()), pa.array(places, ints), pa.array(feats, ints)], names=["toxic", "n", "at", "feat"])
+
+    return run
+
+
+@dataclass
+class _State:
+    """What a round of training needs to know: the parameters so far."""
+
+    w: np.ndarray
+    bias: float
+    trans: np.ndarray
+
+
+class _Part:
+    """Some of the chains (toxic, n, at, feat, times) under a state: potentials, marginals and expected transitions."""
+
+    def __init__(self, b: pa.RecordBatch, state: _State):
+        self.toxic, n, self.times = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1, 4))
+        self.n = n.astype(np.int64)
+        self.chains = _Chains(self.n)
+        self.place = self.chains.places()
+        each = np.diff(b.column(2).offsets.to_numpy())
+        at = np.repeat(np.cumsum(self.n) - self.n, each) + b.column(2).flatten().to_numpy()
+        self.at, self.feat, self.bad = self.place[at], b.column(3).flatten().to_numpy(), np.repeat(self.toxic, each)
+        shape = self.chains.real.shape
+        e = np.exp(np.clip(state.bias + np.bincount(self.at, state.w[self.feat], self.chains.real.size), -30, 30)).reshape(shape)
+        self.p, self.pairs = self.chains.marginals(e, state.trans)
+
+    def gradient(self, size: int) -> np.ndarray:
+        """Of clean and of toxic chains: derived less expected tags by feature, of all tokens, and transitions.
+
+        What is summed are multiples of a fraction that are exact in a float,
+        so sums do not depend on how the chains are dealt out.
+        """
+        exact = lambda x: np.rint(x * _EXACT) / _EXACT
+        y = np.zeros(self.p.shape)
+        y.ravel()[self.at[self.bad]] = 1
+        blocks = -(-self.n // _STRIDE)
+        kind, times = np.repeat(self.toxic.astype(int), blocks), np.repeat(self.times, blocks).astype(float)
+        err = exact(y - self.p) * times
+        tags = y.ravel()[self.place].astype(int)
+        inside = ~self.chains.first.ravel()[self.place[1:]] * np.repeat(self.times, self.n)[1:]
+        pair, of = tags[:-1] * 2 + tags[1:], np.repeat(self.toxic.astype(int), self.n)[1:]
+        seen = np.bincount(pair + 4 * of, inside, 8).reshape(2, 4)
+        moves = exact(self.pairs.reshape(4, -1)) * times
+        out = np.zeros((2, size + 5))
+        for c in (0, 1):
+            mine = self.bad == bool(c)
+            out[c, :size] = np.bincount(self.feat[mine], err.ravel()[self.at[mine]], size)
+            out[c, size] = err[:, kind == c].sum()
+            out[c, size + 1 :] = seen[c] - moves[:, kind == c].sum(1)
+        return out
+
+    def summaries(self) -> tuple[np.ndarray, np.ndarray]:
+        """``summary`` of each chain."""
+        p = self.p.ravel()[self.place]
+        starts = np.cumsum(self.n) - self.n
+        top = np.maximum.reduceat(p, starts)
+        x = np.log(np.maximum(top, 1e-9) / np.maximum(1 - top, 1e-9)).clip(-6, 6)
+        return x, np.log(np.add.reduceat(np.where(p > 0.2, p, 0), starts) + 0.01)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains of a task in Arrow's own bytes, so many at a time that they have about _TOKENS tokens."""
+    for b in slices(batches):
+        ends = np.cumsum(b.column(1).to_numpy().astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _TOKENS, "right")))
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b.take(pa.array(range(i, j))))
+            yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chains"])
+            i = j
+
+
+def _gradient(chains: bytes, state: _State) -> np.ndarray:
+    with pa.ipc.open_stream(chains) as r:
+        return _Part(r.read_next_batch(), state).gradient(len(state.w))
+
+
+def _summaries(state: _State):
+    """Of each chain whether it is toxic, how often it comes, and its summary: the four as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for chains in b.column(0):
+                with pa.ipc.open_stream(chains.as_py()) as r:
+                    part = _Part(r.read_next_batch(), state)
+                seen = np.array([part.toxic, part.times, *part.summaries()], float)
+                yield pa.record_batch([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+    return run
+
+
+def _sums(seen: bytes, b: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the calibration's log-likelihood at ``b``, in which all texts weigh the same; exact as ``_Part.gradient``."""
+    toxic, times, *xy = np.frombuffer(seen).reshape(4, -1)
+    x = np.stack([np.ones(len(toxic)), *xy], 1)
+    p = 1 / (1 + np.exp(-np.clip((x * b).sum(1), -30, 30)))
+    each = np.concatenate([x * (toxic - p)[:, None], (x[:, :, None] * x[:, None, :]).reshape(-1, 9) * (p * (1 - p))[:, None]], 1)
+    return (np.rint(each * _EXACT) / _EXACT * times[:, None]).sum(0)
+
+
+def _fitted(size: int, clean: float, gradient: Callable[[_State], np.ndarray], rounds: int) -> _State:
+    """Full-batch Adagrad on the log-likelihood of the derived tags of whole chains; a clean chain has the weight ``clean``."""
+    w, bias, trans = np.zeros(size), -3.0, np.zeros((2, 2))
+    gw, gb, gt = np.full(size, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        e = np.exp(np.clip(bias + np.bincount(at_, w[feat_], y.size), -30, 30)).reshape(shape)
-        p, pairs = chains.marginals(e, trans)
-        err = y - p
-        dw = np.bincount(feat_, err.ravel()[at_], len(index)) - 0.5 * w
-        db, dt = err.sum(), seen - pairs - 0.5 * trans
+        got = np.array([clean, 1.0]) @ gradient(_State(w, bias, trans))
+        dw, db, dt = got[:size] - 0.5 * w, got[size], got[size + 1 :].reshape(2, 2) - 0.5 * trans
         gw, gb, gt = gw + dw * dw, gb + db * db, gt + dt * dt
         w, bias, trans = w + 0.8 * dw / np.sqrt(gw), bias + 0.8 * db / math.sqrt(gb), trans + 0.5 * dt / np.sqrt(gt)
-    model = ChainModel({f: float(w[i]) for f, i in index.items()}, float(bias), tuple(float(x) for x in trans.ravel()))
-    potential = {t: math.exp(max(-30.0, min(30.0, model.score(t)))) for t in words}
-    x = np.array([(1.0, *summary(model.odds([potential[t] for t in d]))) for d in docs])
-    model.calibration = tuple(_logistic(x, np.array(toxic, float)))
-    return model
+    return _State(w, float(bias), trans)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Newton's method with a small ridge, signs of the two slopes kept positive."""
-    b = np.zeros(x.shape[1])
+def _logistic(sums: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float, float]:
+    """Newton's method with a small ridge, signs of the two slopes kept positive; ``sums``: those of ``_sums`` over all chains."""
+    b = np.zeros(3)
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
-        b = b + np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.1 * b), -2, 2)
+        got = sums(b)
+        step = np.clip(np.linalg.solve(got[3:].reshape(3, 3) + 0.1 * np.eye(3), got[:3] - 0.1 * b), -2, 2)
+        b = b + step
+        if np.abs(step).max() < 1e-6:
+            break
     if b[1] < 0 or b[2] < 0:
-        return [float(b[0]), max(0.05, float(b[1])), max(0.0, float(b[2]))]
-    return [float(v) for v in b]
+        return float(b[0]), max(0.05, float(b[1])), max(0.0, float(b[2]))
+    return float(b[0]), float(b[1]), float(b[2])
+
+
+def _wordless(times: dict[bool, int]) -> bytes:
+    """The summaries of texts without a token, as ``_summaries`` gives those of others."""
+    return np.array([(y, c, *summary([])) for y, c in times.items()], float).reshape(-1, 4).T.tobytes()
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> ChainModel:
-    """Trains on labelled documents outside fold 1; a document with any toxic label is toxic.
+def _model(names: list[str], state: _State, calibration: tuple[float, float, float]) -> ChainModel:
+    return ChainModel(dict(zip(names, map(float, state.w))), state.bias, tuple(float(x) for x in state.trans.ravel()), calibration)
 
-    The sample, at most ``max_toxic`` + ``max_clean`` whole texts, one an id,
-    of ``max_bytes`` together, is the only thing that reaches the driver.
-    Repeated texts count once.
+
+def train(texts: list[str], toxic: list[bool], rounds: int = 40) -> ChainModel:
+    """The steps of ``learn`` over a list of texts that is at hand."""
+    n, k = len(texts), sum(toxic)
+    given = pa.record_batch([pa.array(texts, pa.string()), pa.array(toxic, pa.bool_())], names=["text", "toxic"])
+    counts = pa.Table.from_batches(_counted(iter([given]))).group_by("feature").aggregate([("toxic", "sum"), ("clean", "sum")]).filter(pc.field("toxic_sum") > 0) if 0 < k < n else None
+    if counts is None or not counts.num_rows:
+        return ChainModel()
+    chosen = bound(counts["toxic_sum"].to_numpy(), counts["clean_sum"].to_numpy(), n, k, counts.num_rows)
+    names = sorted(counts["feature"].filter(pa.array(chosen)).to_pylist())
+    if not names:
+        return ChainModel()
+    chains = pa.Table.from_batches(_reduced({f: i for i, f in enumerate(names)})(iter([given]))).append_column("times", pa.array([1] * n, pa.int64()))
+    packs = list(_packed(iter(chains.filter(pc.field("n") > 0).combine_chunks().to_batches())))
+    state = _fitted(len(names), _balance(n, k), lambda s: sum(_gradient(b.column(0)[0].as_py(), s) for b in packs), rounds)
+    seen = [b.column(0)[0].as_py() for b in _summaries(state)(iter(packs))]
+    seen.append(_wordless(Counter(chains.filter(pc.field("n") == 0)["toxic"].to_pylist())))
+    return _model(names, state, _logistic(lambda b: sum(_sums(x, b) for x in seen)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_bytes: int | None = None, rounds: int = 40) -> ChainModel:
+    """Trains on all labelled documents outside fold 1; a document with any toxic label is toxic.
+
+    Equal texts count once, with the label of the least id. Features are
+    counted, and each round's gradient is summed, by tasks over whole texts;
+    only bound features, gradients and sums reach the driver. Texts in which
+    bound features stand in the same places among as many tokens, as all
+    without any of one length, are one chain with a number. ``max_bytes``
+    leaves out longer texts; by default there is no bound.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(fold_of(F.col("doc_id")) != 1)
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
-    pick = lambda c, n: usable.where(c).orderBy("draw", "doc_id").limit(n)
-    sample = pick("toxic > 0", max_toxic).unionByName(pick("toxic = 0", max_clean))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null")
-    texts = saved(rows.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")))
-    sized = texts.select("doc_id", F.octet_length("text").alias("n")).orderBy("draw", "doc_id").collect()
-    left, ids = max_bytes, []
-    for r in sized:
-        if r["n"] <= left:
-            left -= r["n"]
-            ids.append(r["doc_id"])
-    got = (texts if len(ids) == len(sized) else texts.where(F.col("doc_id").isin(ids))).orderBy("doc_id").toArrow()
-    first: dict[str, bool] = {}
-    for text, toxic in zip(got["text"].to_pylist(), got["toxic"].to_pylist()):
-        first.setdefault(text, toxic > 0)
-    model = train(list(first), list(first.values()))
-    freed()
-    return model
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 1))
+    if max_bytes is not None:
+        rows = rows.where(F.octet_length("text") <= max_bytes)
+    labelled = rows.join(usable, "doc_id").withColumn("h", F.sha2("text", 256))
+    once = labelled.groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("of"), F.min("text").alias("text"))
+    texts = Stored(once.select("text", (F.col("of.toxic") > 0).alias("toxic")))
+    try:
+        return _learned(texts.df, rounds)
+    finally:
+        texts.remove()
+        tidied(docs.sparkSession)
+
+
+def _learned(texts: DataFrame, rounds: int) -> ChainModel:
+    each = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n, k = sum(each.values()), each.get(True, 0)
+    if not 0 < k < n:
+        return ChainModel()
+    counts = saved(texts.mapInArrow(_counted, _COUNTED).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0"))
+    kinds = counts.count()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0]).filter(pa.array(bound(b.column(1).to_numpy(), b.column(2).to_numpy(), n, k, kinds), pa.bool_()))
+
+    names = sorted(r["feature"] for r in counts.mapInArrow(chosen, "feature string").collect())
+    if not names:
+        return ChainModel()
+    reduced = texts.mapInArrow(_reduced({f: i for i, f in enumerate(names)}), _REDUCED)
+    grouped = saved(reduced.groupBy("toxic", "n", "at", "feat").agg(F.count(F.lit(1)).alias("times")))
+    tokens = grouped.agg(F.sum(F.col("n").cast("long"))).first()[0]
+    packs = saved(grouped.where("n > 0").repartition(max(1, math.ceil(tokens / _TASK))).mapInArrow(_packed, "chains binary"))
+    wordless = _wordless({r["toxic"]: r["times"] for r in grouped.where("n = 0").select("toxic", "times").collect()})
+    chains = packs.rdd
+    state = _fitted(len(names), _balance(n, k), lambda s: chains.map(lambda r: _gradient(bytes(r[0]), s)).treeReduce(np.add), rounds)
+    seen = saved(packs.mapInArrow(_summaries(state), "seen binary")).rdd
+    return _model(names, state, _logistic(lambda b: seen.map(lambda r: _sums(bytes(r[0]), b)).treeReduce(np.add) + _sums(wordless, b)))
 
 
 class Scorer:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import decontam, langid, queries, toxicity
@@ -96,6 +97,21 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark, make):
     assert not toxicity.learn(make(rows), labels, max_bytes=0).weights
 
 
+def test_all_labelled_documents_train(spark, make, monkeypatch):
+    """A word of toxic texts that stand after the first 1000 in the order of their ids' hashes, and the model of all texts at once, however they are dealt out."""
+    ids = [i for i in range(4200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    draw = dict(spark.createDataFrame([(i,) for i in ids if i % 2], "i long").select("i", F.xxhash64("i")).collect())
+    late = set(sorted(draw, key=draw.get)[1000:])
+    assert len(late) > 100
+    rows = [(i, f"{prose(6 + i % 5, i)} {'awfulword' if i % 2 else 'fine'} {'lateword' if i in late else 'other'} t{i}", "en", "a") for i in ids]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(DataFrame, "toArrow", None)  # no table of texts comes to the driver
+    got = toxicity.learn(make(rows).repartition(7), labels)
+    assert "wlateword" in got.weights and "wawfulword" in got.weights
+    want = toxicity.train([t for _, t, *_ in rows], [bool(i % 2) for i, *_ in rows])
+    assert got.weights == want.weights and got.trans == want.trans and got.calibration == pytest.approx(want.calibration)
+
+
 def test_toxicity_without_labels(spark, tricky, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["predicted"] == 0 for r in toxicity.toxicity(tricky, none).collect())
