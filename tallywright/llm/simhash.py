@@ -103,10 +103,13 @@ def _near(x: str, y: str) -> Column:
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(key, node, fp, low) of the distinct nodes (node, fp), both longs, that share a key with another; low: the least (node, fp) of the key."""
+    """(key, node, fp, low) of the distinct nodes (node, fp), both longs, that share a key with another; low: the least (node, fp) of the key.
+
+    Spark takes what an explode makes for as large as what it got, and would broadcast 70 times a small table; so the join is a merge.
+    """
     keyed = nodes.select("node", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return saved(keyed.join(shared, "key").select("key", "node", "fp", "low"))
+    return saved(keyed.hint("merge").join(shared.hint("merge"), "key").select("key", "node", "fp", "low"))
 
 
 def star_pairs(members: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import string
 import pytest
 from xxhash import xxh64_intdigest
 
-from tallywright.llm import exact_dedup, queries, simhash
+from tallywright.llm import exact_dedup, jaccard, queries, simhash
 
 from .conftest import TRICKY, prose
 
@@ -142,3 +142,19 @@ def test_empty_tables(empty):
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.one_of_each(empty).collect() == []
     assert exact_dedup.exact_duplicates(empty).collect() == []
+
+
+@pytest.mark.parametrize("module", [simhash, jaccard])
+def test_exploded_keys_are_not_broadcast(make, monkeypatch, module):
+    """Spark takes a text's keys for as large as the text's row, and would send all of a small table's to the driver."""
+    plans, saved = [], module.saved
+
+    def watched(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df)
+
+    monkeypatch.setattr(module, "saved", watched)
+    module.near_duplicates(make([(i, prose(40, i % 3), "en", "a") for i in range(20)])).collect()
+    exploded = [p for p in plans if "Generate explode" in p and "Join" in p]
+    assert exploded and not any("BroadcastHashJoin" in p for p in exploded)
