@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -283,6 +284,48 @@ def test_sparse_products_are_those_of_dense_rows():
     assert np.allclose(total, dense.T @ (dense @ x))
 
 
+def test_space_is_fitted_on_every_document(spark, make, items, monkeypatch):
+    """Both passes read the passages of all documents, more than 2000 and repeated ones too."""
+    seen, products = spark.sparkContext.accumulator(0), decontam._range_products
+
+    def counted(shared):
+        run = products(shared)
+
+        def counting(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return lambda batches: run(counting(batches))
+
+    monkeypatch.setattr(decontam, "_range_products", counted)
+    rows = [(i, f"{items[0][i % 20][1]} {i % 1500}", "en", "a") for i in range(3000)]
+    read = decontam.read_items(items[1])
+    vocab = decontam.vocabulary(read)
+    decontam.fit(decontam.encode(make(rows), vocab), read, vocab)
+    assert seen.value == 2 * len(rows)
+
+
+@pytest.mark.parametrize("table", [decontam._TABLE, 0])
+def test_products_of_a_partition_are_those_of_all_its_passages(monkeypatch, table):
+    """By the table of pairs and, where terms are too many for it, passage by passage."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(decontam, "_TABLE", table)
+    monkeypatch.setattr(decontam, "_TOKENS", 100)
+    items = [(i, [f"t{k}" for k in rng.integers(0, 30, 9)]) for i in range(20)]
+    vocab = decontam.vocabulary(items)
+    space = decontam.Space(items, vocab, {k: k for k in range(20)}, 50)
+    codes = [rng.integers(-1, len(vocab), n).astype(np.int32) for n in (0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 700)]
+    x, want = rng.normal(size=(len(vocab), 5)), np.zeros((len(vocab), 5))
+    for c in codes:
+        decontam.add_products(space, decontam._passages(c), x, want)
+    shared = type("Shared", (), {"value": (space, x)})
+    got = np.zeros(want.shape)
+    for b in decontam._range_products(shared)(iter([pa.record_batch([pa.array([c.tobytes() for c in codes], pa.binary())], names=["codes"])])):
+        got[b.column(0).to_numpy()] = b.column(1).to_pylist()
+    assert np.allclose(got, want)
+
+
 def test_decontamination_of_empty_tables(spark, empty, tricky, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(tricky, none).collect() == []
