@@ -88,13 +88,17 @@ on_cells("inf_neutral_sign", "SELECT source_file, CASE WHEN count(CASE WHEN amou
 SCHEMA = ingest.StatementSchema(date=0, description=1, amount=2)
 
 
+def canonical(body: DataFrame) -> DataFrame:
+    return ingest.canonical(body, SCHEMA, F.lit("main"), transfer_words=["ring"])
+
+
 def imported(rows: DataFrame) -> DataFrame:
-    return Stored(ingest.canonical(St.body(rows), SCHEMA, F.lit("main"), transfer_words=["ring"])).df
+    return Stored(canonical(St.body(rows))).df
 
 
 TYPE = "CASE WHEN contains(description, 'ring') THEN CASE WHEN amount < 0 THEN 'internal_out' ELSE 'internal_in' END WHEN amount > 0 THEN 'income' ELSE 'expense' END AS tx_type"
 on_cells("src_load_raw", f"SELECT source_file, row_idx, date, CAST(round(amount, 2) AS DECIMAL(18,4)) AS amount, description, {TYPE} FROM num")(
-    lambda rows: imported(rows).where("reject is null").select("source_file", "row_idx", "date", "amount", "description", "tx_type")
+    lambda rows: canonical(St.loaded(rows)[0]).where("reject is null").select("source_file", "row_idx", "date", "amount", "description", "tx_type")
 )
 on_cells("agg_reject_reasons", f"SELECT 'no date' AS reject, count(*) AS n FROM ({PER})")(lambda rows: ingest.reject_reasons(imported(rows)))
 on_cells("agg_dedup_sum", "SELECT source_file, date, description, amount * count(*) AS amount, count(*) - 1 AS merge_count FROM num GROUP BY source_file, date, description, amount HAVING count(*) > 1")(
