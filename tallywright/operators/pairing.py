@@ -2,8 +2,8 @@
 
 Rows are dealt to cells of absolute amount and time, and a cell sees the rows
 that its own can pair with. Each cell makes the pass over its rows by itself,
-with the pairs that the others reported for rows at its edge; cells do so again
-until no pair changes. As a pair depends on earlier ones only, the first pair in
+with the pairs that the others reported for rows at its edge; cells that see a
+row whose pair changed do so again until no pair changes. As a pair depends on earlier ones only, the first pair in
 which a result without change differed from the sequential one would have to
 depend on an earlier such pair, so there is none: what stays is that result.
 """
@@ -51,11 +51,12 @@ def sweep(rows: pd.DataFrame, eps: int, days: int, strict_eps: int, strict_days:
     outside = [isinstance(p, str) and p not in known for p in p_id]
     # partners outside that come before their row, latest first
     due = sorted(((int(p_day[i]), p_id[i], i) for i in range(n) if outside[i] and (p_day[i], p_id[i]) < (day[i], ids[i])), reverse=True)
-    lists: dict[tuple[int, bool], list[int]] = {}
+    # by day, as a row's partner is mostly of its own day or the next, where fewer amounts lie within reach
+    by_day: dict[int, dict[tuple[int, bool], list[int]]] = {}
     for i in range(n):
-        lists.setdefault((units[i], word[i]), []).append(i)
-    queues = {k: [v, 0, _other_account(v, account)] for k, v in lists.items()}
-    amounts = sorted(set(units))
+        by_day.setdefault(day[i], {}).setdefault((units[i], word[i]), []).append(i)
+    queues = {d: {k: [v, 0, _other_account(v, account)] for k, v in lists.items()} for d, lists in by_day.items()}
+    amounts = {d: sorted({u for u, _ in lists}) for d, lists in by_day.items()}
     partner, taken = [-1] * n, bytearray(n)  # -2: the one outside
     for i in range(n):
         while due and due[-1][:2] < (day[i], ids[i]):
@@ -65,32 +66,35 @@ def sweep(rows: pd.DataFrame, eps: int, days: int, strict_eps: int, strict_days:
         if taken[i]:
             continue
         best, x = n, units[i]
-        for y in amounts[bisect_left(amounts, -x - eps) : bisect_right(amounts, -x + eps)]:
-            for w in (True, False):
-                q = queues.get((y, w))
-                if q is None:
-                    continue
-                if w or word[i]:
-                    last = day[i] + days
-                elif abs(x + y) <= strict_eps:
-                    last = day[i] + strict_days
-                else:
-                    continue
-                places, k, other = q
-                while k < len(places) and (places[k] <= i or taken[places[k]]):
-                    k += 1
-                q[1] = k
-                while k < len(places):
-                    j = places[k]
-                    if j >= best or day[j] > last:
-                        break
-                    if account[j] == account[i]:
-                        k = other[k]
-                    elif taken[j]:
+        for d in range(day[i], day[i] + max(days, strict_days) + 1):
+            if best < n:
+                break  # no row of a later day comes before it
+            of_day = amounts.get(d)
+            if of_day is None:
+                continue
+            lists, near, soon = queues[d], d <= day[i] + days, d <= day[i] + strict_days
+            for y in of_day[bisect_left(of_day, -x - eps) : bisect_right(of_day, -x + eps)]:
+                for w in (True, False):
+                    if not (near if w or word[i] else soon and abs(x + y) <= strict_eps):
+                        continue
+                    q = lists.get((y, w))
+                    if q is None:
+                        continue
+                    places, k, other = q
+                    while k < len(places) and (places[k] <= i or taken[places[k]]):
                         k += 1
-                    else:
-                        best = j
-                        break
+                    q[1] = k
+                    while k < len(places):
+                        j = places[k]
+                        if j >= best:
+                            break
+                        if account[j] == account[i]:
+                            k = other[k]
+                        elif taken[j]:
+                            k += 1
+                        else:
+                            best = j
+                            break
         if outside[i] and (p_day[i], p_id[i]) > (day[i], ids[i]) and (best == n or (p_day[i], p_id[i]) < (day[best], ids[best])):
             taken[i], partner[i] = 1, -2
         elif best < n:
@@ -141,16 +145,23 @@ def sequential_pairs(ledger: DataFrame, word, eps: str, days: int, strict_eps: s
     deal = Bucketizer(splitsArray=[bounds] * 3, inputCols=[f"_{c}" for c in places], outputCols=list(places))
     chunk = lambda b, d: F.when(F.get(width, b) == 0, 0).otherwise(F.floor(d / F.get(width, b))).cast("int")
 
-    def passed(now: DataFrame) -> DataFrame:
+    def passed(now: DataFrame, all_: bool) -> DataFrame:
+        """Another pass of the cells that see a row which changed in the last one, or of all; the others' rows stay."""
         dealt = deal.transform(now.select("*", *[v.cast("double").alias(f"_{c}") for c, v in places.items()]))
-        dealt = dealt.select(*now.columns, *[F.col(c).cast("int").alias(c) for c in places]).withColumn("t", chunk(F.col("b"), F.col("day"))).withColumn("bucket", F.explode(F.sequence("b0", "b1")))
-        seen = dealt.withColumn("time", F.explode(F.sequence(chunk(F.col("bucket"), F.col("day") - days), chunk(F.col("bucket"), F.col("day") + days))))
-        seen = seen.select("bucket", "time", "id", "day", "units", "account", "word", "p_id", "p_day", "p_units", "p_word", ((F.col("bucket") == F.col("b")) & (F.col("time") == F.col("t"))).alias("core"))
+        dealt = dealt.select(*now.columns, *[F.col(c).cast("int").alias(c) for c in places]).withColumn("t", chunk(F.col("b"), F.col("day")))
+        seen = dealt.withColumn("bucket", F.explode(F.sequence("b0", "b1"))).withColumn("time", F.explode(F.sequence(chunk(F.col("bucket"), F.col("day") - days), chunk(F.col("bucket"), F.col("day") + days))))
+        seen = seen.select("bucket", "time", "id", "day", "units", "account", "word", "p_id", "p_day", "p_units", "p_word", "changed", ((F.col("bucket") == F.col("b")) & (F.col("time") == F.col("t"))).alias("core"))
         columns = [c.split()[0] for c in _ROW.split(", ")]
-        return seen.groupBy("bucket", "time").applyInPandas(lambda pdf: sweep(pdf, reach, days, strict, strict_days)[columns], _ROW)
-
+        swept = lambda rows: rows.drop("changed").groupBy("bucket", "time").applyInPandas(lambda pdf: sweep(pdf, reach, days, strict, strict_days)[columns], _ROW)
+        if all_:
+            return swept(seen)
+        cells = F.broadcast(saved(seen.where("changed").select("bucket", "time").distinct()))  # a few for every cell_rows rows
+        still = dealt.join(cells.select(F.col("bucket").alias("b"), F.col("time").alias("t")), ["b", "t"], "left_anti")
+        return swept(seen.join(cells, ["bucket", "time"], "left_semi")).unionByName(still.withColumn("changed", F.lit(False)).select(*columns))
+
+    whole = True
     while True:
-        state = saved(passed(state))
+        state, whole = saved(passed(state, whole)), False
         if state.where("changed").isEmpty():
             break
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
