@@ -3,14 +3,17 @@
 Rows are dealt to cells of absolute amount and time, and a cell sees the rows
 that its own can pair with. Each cell makes the pass over its rows by itself,
 with the pairs that the others reported for rows at its edge; cells that see a
-row whose pair changed do so again until no pair changes. As a pair depends on earlier ones only, the first pair in
-which a result without change differed from the sequential one would have to
-depend on an earlier such pair, so there is none: what stays is that result.
+row whose pair changed do so again until no pair changes. Cells are cut in two
+ways by turns, as decisions that cross an edge to and fro cost a pass each time.
+As a pair depends on earlier ones only, the first pair in which a result without
+change differed from the sequential one would have to depend on an earlier such
+pair, so there is none: what stays is that result.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import cycle
 from math import ceil
 
 import numpy as np
@@ -26,7 +29,7 @@ CELL_ROWS = 50_000
 #: Units of an amount, its last decimal.
 UNIT = 10_000
 _PARTNER = "p_id string, p_day int, p_units long, p_word boolean"
-_ROW = f"id string, day int, units long, account string, word boolean, {_PARTNER}, changed boolean"
+_ROW = f"id string, day int, units long, account string, word boolean, {_PARTNER}, before boolean, changed boolean"
 
 
 def _other_account(positions: list[int], account: np.ndarray) -> list[int]:
@@ -106,17 +109,18 @@ def sweep(rows: pd.DataFrame, eps: int, days: int, strict_eps: int, strict_days:
     for name, of in (("p_id", "id"), ("p_day", "day"), ("p_units", "units"), ("p_word", "word")):
         values, old = rows[of].astype(object).to_numpy(), rows[name].astype(object).to_numpy()
         got[name] = np.where(inside, values[at] if n else values, np.where(at == -2, old, None))
+    got["before"] = rows["changed"]
     before, after = rows["p_id"].astype(object), got["p_id"]
     got["changed"] = (before.fillna("") != after.fillna("")) | (before.isna() != after.isna())
     return got[rows["core"].to_numpy(bool)]
 
 
-def _cut(rows: DataFrame, cell_rows: int) -> tuple[list[float], list[int]]:
-    """Bounds of the cells' absolute amounts, and the days that each cell's time covers; 0 is all of it."""
+def _cut(rows: DataFrame, cell_rows: int, shift: float) -> tuple[list[float], list[int]]:
+    """Bounds of the cells' absolute amounts, moved on by a share of a cell, and the days that each cell's time covers; 0 is all of it."""
     size = F.abs("units")
     all_ = rows.agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first"), F.max("day").alias("last")).first()
     parts = ceil(all_["n"] / cell_rows)
-    inner = sorted(set(rows.agg(F.percentile_approx(size, [i / parts for i in range(1, parts)], 20 * parts)).first()[0])) if parts > 1 else []
+    inner = sorted(set(rows.agg(F.percentile_approx(size, [(i + shift) / parts for i in range(1 - ceil(shift), parts)], 20 * parts)).first()[0])) if parts > 1 else []
     bounds = [float("-inf"), -1.0, *map(float, inner), float("inf")]  # a Bucketizer wants a bound at least
     if parts <= 1:
         return bounds, [0, 0]
@@ -137,31 +141,34 @@ def sequential_pairs(ledger: DataFrame, word, eps: str, days: int, strict_eps: s
         "id", epoch.alias("day"), (F.col("amount").cast("decimal(18,4)") * UNIT).cast("long").alias("units"), F.col("account_label").cast("string").alias("account"), word.alias("word")
     )
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _PARTNER.split(", "))]
-    state = saved(rows.select("*", *none, F.lit(True).alias("changed")))
-    bounds, spans = _cut(state, cell_rows)
-    width = F.array(*[F.lit(s) for s in spans])
+    state = saved(rows.select("*", *none, F.lit(True).alias("before"), F.lit(True).alias("changed")))
     size = F.abs("units")
     places = {"b": size, "b0": F.greatest(size - reach, F.lit(0)), "b1": size + reach}
-    deal = Bucketizer(splitsArray=[bounds] * 3, inputCols=[f"_{c}" for c in places], outputCols=list(places))
-    chunk = lambda b, d: F.when(F.get(width, b) == 0, 0).otherwise(F.floor(d / F.get(width, b))).cast("int")
-
-    def passed(now: DataFrame, all_: bool) -> DataFrame:
-        """Another pass of the cells that see a row which changed in the last one, or of all; the others' rows stay."""
-        dealt = deal.transform(now.select("*", *[v.cast("double").alias(f"_{c}") for c, v in places.items()]))
-        dealt = dealt.select(*now.columns, *[F.col(c).cast("int").alias(c) for c in places]).withColumn("t", chunk(F.col("b"), F.col("day")))
-        seen = dealt.withColumn("bucket", F.explode(F.sequence("b0", "b1"))).withColumn("time", F.explode(F.sequence(chunk(F.col("bucket"), F.col("day") - days), chunk(F.col("bucket"), F.col("day") + days))))
-        seen = seen.select("bucket", "time", "id", "day", "units", "account", "word", "p_id", "p_day", "p_units", "p_word", "changed", ((F.col("bucket") == F.col("b")) & (F.col("time") == F.col("t"))).alias("core"))
-        columns = [c.split()[0] for c in _ROW.split(", ")]
-        swept = lambda rows: rows.drop("changed").groupBy("bucket", "time").applyInPandas(lambda pdf: sweep(pdf, reach, days, strict, strict_days)[columns], _ROW)
-        if all_:
-            return swept(seen)
-        cells = F.broadcast(saved(seen.where("changed").select("bucket", "time").distinct()))  # a few for every cell_rows rows
-        still = dealt.join(cells.select(F.col("bucket").alias("b"), F.col("time").alias("t")), ["b", "t"], "left_anti")
-        return swept(seen.join(cells, ["bucket", "time"], "left_semi")).unionByName(still.withColumn("changed", F.lit(False)).select(*columns))
-
-    whole = True
+    columns = [c.split()[0] for c in _ROW.split(", ")]
+
+    def passes(shift: float):
+        bounds, spans = _cut(state, cell_rows, shift)
+        width = F.array(*[F.lit(s) for s in spans])
+        deal = Bucketizer(splitsArray=[bounds] * 3, inputCols=[f"_{c}" for c in places], outputCols=list(places))
+        chunk = lambda b, d: F.when(F.get(width, b) == 0, 0).otherwise(F.floor((d + F.floor(F.get(width, b) * shift)) / F.get(width, b))).cast("int")
+
+        def passed(now: DataFrame) -> DataFrame:
+            """Another pass of the cells that see a row which changed in the last two; the others' rows stay."""
+            dealt = deal.transform(now.select("*", *[v.cast("double").alias(f"_{c}") for c, v in places.items()]))
+            dealt = dealt.select(*now.columns, *[F.col(c).cast("int").alias(c) for c in places]).withColumn("t", chunk(F.col("b"), F.col("day")))
+            seen = dealt.withColumn("bucket", F.explode(F.sequence("b0", "b1"))).withColumn("time", F.explode(F.sequence(chunk(F.col("bucket"), F.col("day") - days), chunk(F.col("bucket"), F.col("day") + days))))
+            seen = seen.select("bucket", "time", *columns, ((F.col("bucket") == F.col("b")) & (F.col("time") == F.col("t"))).alias("core"))
+            cells = F.broadcast(saved(seen.where("changed or before").select("bucket", "time").distinct()))  # a few for every cell_rows rows
+            again = seen.join(cells, ["bucket", "time"], "left_semi").groupBy("bucket", "time").applyInPandas(lambda pdf: sweep(pdf, reach, days, strict, strict_days)[columns], _ROW)
+            still = dealt.join(cells.select(F.col("bucket").alias("b"), F.col("time").alias("t")), ["b", "t"], "left_anti")
+            return again.unionByName(still.withColumn("before", F.col("changed")).withColumn("changed", F.lit(False)).select(*columns).coalesce(len(bounds)))
+
+        return passed
+
+    # cells of two kinds by turns, so that what lies at the edge of one is inside the other
+    turns = cycle([passes(0.0), passes(0.5)])
     while True:
-        state, whole = saved(passed(state, whole)), False
+        state = saved(next(turns)(state))
         if state.where("changed").isEmpty():
             break
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
