@@ -26,6 +26,23 @@ def test_cells_give_the_sequential_pass(spark, monkeypatch, seed):
     assert sorted(map(tuple, got)) == slow_pairs(rows, ["transfer"])
 
 
+def test_few_passes_across_edges(spark, monkeypatch):
+    """With one kind of cell these rows take a pass more."""
+    rng, passes, saved = random.Random(1), [], pairing.saved
+    cents = lambda: rng.choice((-1, 1)) * Decimal(rng.randrange(60)) / 100
+    rows = [(f"t{i * 7919 % 100003:06}", DAY.replace(month=1, day=1) + dt.timedelta(days=i // 40), cents(), f"a{i % 50}", "transfer") for i in range(1200)]
+
+    def counted(df):
+        passes.append("changed" in df.columns)
+        return saved(df)
+
+    monkeypatch.setattr(pairing, "saved", counted)
+    monkeypatch.setattr(pairing.sequential_pairs, "__defaults__", (300,))
+    got = matching.transfer_pairs(spark.createDataFrame(rows, LEDGER), ["transfer"]).select("a_id", "b_id", "confidence").collect()
+    assert sorted(map(tuple, got)) == slow_pairs(rows, ["transfer"])
+    assert sum(passes) - 1 <= 3  # the first is the input
+
+
 def test_pass_needs_no_candidates(spark, monkeypatch):
     """2000 rows and 2000 that cancel any of them, four million candidates: none is made."""
     monkeypatch.setattr(matching, "transfer_candidates", None)
